@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, chat, urls
 
 QUERIES = {
+    "op6_prefix_tree": chat.op6_prefix_tree,
+    "op7_url_filter": urls.op7_url_filter,
     "op8_bpe": bpe.op8_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_prefix_tree": chat.ORACLE,
+    "op7_url_filter": urls.ORACLE,
+}
