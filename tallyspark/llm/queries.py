@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, urls
+from . import bpe, chat, quality, urls
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op6_prefix_tree": chat.op6_prefix_tree,
     "op7_url_filter": urls.op7_url_filter,
     "op8_bpe": bpe.op8_bpe,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_quality": quality.ORACLE,
     "op6_prefix_tree": chat.ORACLE,
     "op7_url_filter": urls.ORACLE,
 }
