@@ -229,9 +229,11 @@ def _decode(table, ids_col: str, schema_names: list[str]):
     def run(batches):
         tokens = table.value
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
-            out = pa.array([None if x is None else b"".join([tokens[i] for i in x]) for x in ids], pa.large_binary()).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*schema_names, "decoded"])
+            at = batch.schema.get_field_index(ids_col)
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                # Python objects of one text at a time
+                out = [None if x.values is None else b"".join([tokens[i] for i in x.values.to_pylist()]) for x in part.column(at)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*schema_names, "decoded"])
 
     return run
 

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
@@ -51,15 +52,14 @@ def blocks(batches: Iterable[pa.RecordBatch], text_col: str, most: int) -> Itera
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(batch.schema.get_field_index(text_col))
-        lengths = np.array([len(x) if x is not None else 0 for x in column.cast(pa.large_binary()).to_pylist()], dtype=np.int64)
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text_col))), 0)
         start = 0
-        for i, n in enumerate(lengths):
+        for i, n in enumerate(lengths.to_pylist()):
             if size and size + n > most:
                 held.append(batch.slice(start, i - start))
                 yield joined(held)
                 held, size, start = [], 0, i
-            size += int(n)
+            size += n
         held.append(batch.slice(start))
     if held and sum(b.num_rows for b in held):
         yield joined(held)
@@ -117,15 +117,15 @@ class Rolling:
 
 
 class Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of a list of UTF-8 texts laid end to end, with a hash of each."""
+    """Words of a list of UTF-8 texts laid end to end, with a hash of each; by default `[^\\x20\\x09-\\x0D]+`."""
 
-    def __init__(self, raw: list[bytes], lower: bool = False, seed: int = 1):
+    def __init__(self, raw: list[bytes], lower: bool = False, seed: int = 1, separators: np.ndarray = WHITE):
         self.data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
         if lower:
             self.data = np.where((self.data >= 65) & (self.data <= 90), self.data + 32, self.data).astype(np.uint8)
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         self.text_start = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int64) if len(raw) else np.zeros(0, np.int64)
-        white = WHITE[self.data]
+        white = separators[self.data]
         before = np.concatenate([[True], white[:-1]])
         self.start = np.flatnonzero(~white & before)
         self.stop = np.flatnonzero(white & ~before)
