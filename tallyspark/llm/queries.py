@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, quality, urls
+from . import bpe, chat, decontam, quality, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op5_decontaminate": decontam.op5_decontaminate,
     "op6_prefix_tree": chat.op6_prefix_tree,
     "op7_url_filter": urls.op7_url_filter,
     "op8_bpe": bpe.op8_bpe,
