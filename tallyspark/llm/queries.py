@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, quality, urls
+from . import bpe, chat, decontam, quality, surrogates, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_surrogates": surrogates.op2_surrogates,
     "op5_decontaminate": decontam.op5_decontaminate,
     "op6_prefix_tree": chat.op6_prefix_tree,
     "op7_url_filter": urls.op7_url_filter,
