@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, quality, surrogates, urls
+from . import bpe, chat, decontam, langid, quality, surrogates, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_prefix_tree": chat.op6_prefix_tree,
     "op7_url_filter": urls.op7_url_filter,
     "op8_bpe": bpe.op8_bpe,
+    "op9_langid": langid.op9_langid,
 }
 
 ORACLES: dict[str, str] = {
