@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, input_bytes, materialize, texts
+from .common import blocks, input_bytes, pack, texts, unpack
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 PARTS = "block long, bucket int, doc_ids array<long>, lens array<int>, body binary"
 
 _encoders: dict[int, object] = {}
@@ -54,24 +54,6 @@ def _encoder(raw: bytes, pattern: str):
     return _encoders[id(raw)]
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of integers, each as width and length, in one compressed string."""
-    out = bytearray()
-    for a in arrays:
-        width = next(w for w in (1, 2, 4, 8) if not len(a) or int(a.max()) < 1 << (8 * w))
-        out += width.to_bytes(1, "little") + len(a).to_bytes(8, "little") + a.astype(f"<u{width}").tobytes()
-    return zstandard.compress(bytes(out), 1)
-
-
-def unpack(body: bytes) -> list[np.ndarray]:
-    raw, at, out = zstandard.decompress(body), 0, []
-    while at < len(raw):
-        width, n = raw[at], int.from_bytes(raw[at + 1 : at + 9], "little")
-        out.append(np.frombuffer(raw, f"<u{width}", n, at + 9))
-        at += 9 + width * n
-    return out
-
-
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
     names = ("block", "bucket", "doc_ids", "lens", "body")
@@ -92,7 +74,10 @@ def _pretokenize(pattern: str, id_col: str, text_col: str, buckets: int):
             seq = np.concatenate(seqs) if seqs else np.zeros(0, np.int32)
             words = [w.encode() for w in local]
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
-            order = np.lexsort((bucket, -np.bincount(seq, minlength=len(words))))
+            # frequent words get small numbers; words of equal count stand by bucket and spelling, which packs well
+            spelling = np.empty(len(words), np.int64)
+            spelling[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+            order = np.lexsort((spelling, bucket, -np.bincount(seq, minlength=len(words))))
             rank = np.empty(len(words), np.int64)
             rank[order] = np.arange(len(words))
             f = rank[seq]
@@ -216,12 +201,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    buckets = min(4096, max(64, math.isqrt(input_bytes(docs) >> 16)))
-    parts = materialize(docs.mapInArrow(_pretokenize(pattern, id_col, text_col, buckets), PARTS))
-    # positions wait in the shared folder; only words go through the first shuffle
-    words = parts.where("bucket >= 0").repartition(F.col("bucket")).sortWithinPartitions("bucket")
-    coded = words.mapInArrow(_encode_words(ranks, pattern), PARTS)
-    whole = parts.where("bucket < 0").unionByName(coded).repartition(F.col("block")).sortWithinPartitions("block", "bucket")
+    buckets = min(4096, max(64, math.isqrt(input_bytes(docs, text_col) >> 16)))
+    parts = docs.mapInArrow(_pretokenize(pattern, id_col, text_col, buckets), PARTS)
+    # words meet by bucket; positions, in bucket -1, are dealt out by block and pass through
+    by_word = parts.repartition(F.expr("CASE WHEN bucket < 0 THEN block ELSE bucket END")).sortWithinPartitions("bucket")
+    coded = by_word.mapInArrow(_encode_words(ranks, pattern), PARTS)
+    whole = coded.repartition(F.col("block")).sortWithinPartitions("block", "bucket")
     return whole.mapInArrow(_reassemble(id_col), f"`{id_col}` long, ids array<int>")
 
 

@@ -8,7 +8,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 WHITE = np.zeros(256, dtype=bool)
@@ -35,9 +37,13 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a plan's size, used only to choose a number of buckets."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame, text_col: str) -> int:
+    """About how large a table is, used only to choose a number of buckets: Catalyst's estimate or, where it has none
+    (a plan of unknown size counts as exabytes), the bytes of the texts."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 52:
+        return size
+    return df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:
@@ -72,6 +78,24 @@ def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(parts).combine_chunks().to_batches(max_chunksize=None)[0]
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of integers, each as width and length, in one compressed string."""
+    out = bytearray()
+    for a in arrays:
+        width = next(w for w in (1, 2, 4, 8) if not len(a) or int(a.max()) < 1 << (8 * w))
+        out += width.to_bytes(1, "little") + len(a).to_bytes(8, "little") + a.astype(f"<u{width}").tobytes()
+    return zstandard.compress(bytes(out), 1)
+
+
+def unpack(body: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.decompress(body), 0, []
+    while at < len(raw):
+        width, n = raw[at], int.from_bytes(raw[at + 1 : at + 9], "little")
+        out.append(np.frombuffer(raw, f"<u{width}", n, at + 9))
+        at += 9 + width * n
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A finalising 64-bit mix, in place on uint64."""
     x ^= x >> U64(31)
