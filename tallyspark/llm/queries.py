@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, langid, quality, surrogates, urls
+from . import bpe, chat, decontam, langid, ppm, quality, surrogates, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_url_filter": urls.op7_url_filter,
     "op8_bpe": bpe.op8_bpe,
     "op9_langid": langid.op9_langid,
+    "op10_ppm": ppm.op10_ppm,
 }
 
 ORACLES: dict[str, str] = {
