@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -78,6 +78,36 @@ def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(parts).combine_chunks().to_batches(max_chunksize=None)[0]
 
 
+#: a blocked Bloom filter: so many bits for each key, as long as it has at most so many blocks of 512 bits
+BITS_PER_KEY, MAX_BLOCKS = 16, 1 << 17
+
+
+def _bloom_bits(key: Column) -> list[Column]:
+    """One bit for each of a block's eight words, from a second hash of the key."""
+    h = F.xxhash64(F.lit(7), key)
+    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(8)]
+
+
+def bloom_filter(df: DataFrame, key: Column, most: int = MAX_BLOCKS) -> tuple[DataFrame, int]:
+    """The blocked Bloom filter of a hashed key as rows (_block, _w0.._w7), and its number of blocks, at most `most`."""
+    n, blocks_ = df.agg(F.approx_count_distinct(key)).first()[0], 1
+    while blocks_ < most and blocks_ * 512 < n * BITS_PER_KEY:
+        blocks_ *= 2
+    bits = df.select(F.pmod(key, F.lit(blocks_)).alias("_block"), *(b.alias(f"_w{i}") for i, b in enumerate(_bloom_bits(key))))
+    return bits.groupBy("_block").agg(*(F.bit_or(f"_w{i}").alias(f"_w{i}") for i in range(8))), blocks_
+
+
+def bloom_passes(df: DataFrame, words: DataFrame, blocks_: int, key: Column, flag: str = "") -> DataFrame:
+    """The rows of df that the filter passes; or all, with a boolean column named flag. The filter is broadcast, as its
+    size is bounded."""
+    df = df.withColumn("_block", F.pmod(key, F.lit(blocks_))).join(F.broadcast(words), "_block", "left" if flag else "inner")
+    found = F.lit(True)
+    for i, b in enumerate(_bloom_bits(key)):
+        found = found & (F.col(f"_w{i}").bitwiseAND(b) != 0)
+    df = df.withColumn(flag, F.coalesce(found, F.lit(False))) if flag else df.where(found)
+    return df.drop("_block", *(f"_w{i}" for i in range(8)))
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of integers, each as width and length, in one compressed string."""
     out = bytearray()

@@ -16,9 +16,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import MAX_BLOCKS, bloom_filter, bloom_passes
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_BLOCKS = 1 << 17
-BITS_PER_URL = 16
 #: parameters that say where a visitor came from, not what the page is
 TRACKING = r"(utm_[^=&]*|ref|gclid|fbclid)(=[^&]*)?"
 
@@ -63,24 +63,9 @@ def first_rule(rules: list[Rule], of) -> Column:
     return out
 
 
-def _block(blocks: int) -> Column:
-    return F.pmod(F.xxhash64("_canon"), F.lit(blocks))
-
-
-def _bits() -> list[Column]:
-    """One bit for each of the eight words, from a second hash."""
-    h = F.xxhash64(F.lit(7), "_canon")
-    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(8)]
-
-
 def bloom(listed: DataFrame) -> tuple[DataFrame, int]:
-    """The blocked Bloom filter of listed._canon as rows (_block, _w0.._w7) and its number of blocks."""
-    n = listed.agg(F.approx_count_distinct("_canon")).first()[0]
-    blocks = 1
-    while blocks < MAX_BLOCKS and blocks * 512 < n * BITS_PER_URL:
-        blocks *= 2
-    bits = listed.select(_block(blocks).alias("_block"), *(b.alias(f"_w{i}") for i, b in enumerate(_bits())))
-    return bits.groupBy("_block").agg(*(F.bit_or(f"_w{i}").alias(f"_w{i}") for i in range(8))), blocks
+    """The blocked Bloom filter of listed._canon."""
+    return bloom_filter(listed, F.xxhash64("_canon"), MAX_BLOCKS)
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], url_col: str = "url", listed_col: str = "url") -> DataFrame:
@@ -94,11 +79,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], url_col:
     # own columns travel in one struct, so that none of their names can clash
     df = host_path(pages.select(F.struct(*own).alias("_row"), F.col(url_col).alias("_url")), "_url")
     df = df.select("_row", "_host", "_path", canonical().alias("_canon"), first_rule(rules, lambda r: r.name).alias("_rule"), first_rule(rules, lambda r: r.verdict).alias("_said"))
-    df = df.withColumn("_block", _block(blocks)).join(F.broadcast(words), "_block", "left")
-    all_set = F.lit(True)
-    for i, b in enumerate(_bits()):
-        all_set = all_set & (F.col(f"_w{i}").bitwiseAND(b) != 0)
-    df = df.withColumn("_maybe", F.coalesce(all_set & F.col("_canon").isNotNull(), F.lit(False))).drop("_block", *(f"_w{i}" for i in range(8)))
+    df = bloom_passes(df, words, blocks, F.xxhash64("_canon"), flag="_maybe")
+    df = df.withColumn("_maybe", F.col("_maybe") & F.col("_canon").isNotNull())
     sure = df.where(~F.col("_maybe")).withColumn("_hit", F.lit(False))
     hits = df.where("_maybe").join(listed.withColumn("_in", F.lit(True)), "_canon", "left").withColumn("_hit", F.col("_in").isNotNull()).drop("_in")
     return sure.unionByName(hits).select(

@@ -1,4 +1,5 @@
 from tallyspark.llm import urls
+from tallyspark.llm.common import BITS_PER_KEY
 from tallyspark.llm.urls import Rule
 
 
@@ -31,7 +32,7 @@ def test_list_is_exact_for_any_filter_size(spark, monkeypatch):
 def test_few_false_positives_pass_the_filter(spark):
     listed = spark.range(5000).selectExpr("concat('a.com/', id) as _canon")
     words, blocks = urls.bloom(listed)
-    assert blocks * 512 >= 5000 * urls.BITS_PER_URL and words.count() <= blocks
+    assert blocks * 512 >= 5000 * BITS_PER_KEY and words.count() <= blocks
 
 
 def test_empty_tables_and_longest_rule(spark):
