@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, langid, orderminhash, ppm, quality, surrogates, urls
+from . import bpe, chat, decontam, langid, orderminhash, ppm, quality, runbwt, surrogates, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_surrogates": surrogates.op2_surrogates,
+    "op3_suffix_dedup": runbwt.op3_suffix_dedup,
     "op4_order_minhash": orderminhash.op4_order_minhash,
     "op5_decontaminate": decontam.op5_decontaminate,
     "op6_prefix_tree": chat.op6_prefix_tree,
