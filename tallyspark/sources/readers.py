@@ -48,7 +48,8 @@ def parquet(spark: SparkSession, path: str, split: str | None = None, subset: st
 @reader("jsonl")
 def jsonl(spark: SparkSession, path: str, schema: str, keep_malformed: bool = False, root: str | None = None) -> DataFrame:
     """JSON lines; blank lines are skipped, malformed ones dropped or kept as rows with `_corrupt` text."""
-    df = spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    lines = spark.read.text(path).where(strip(F.col("value")) != "")
+    df = lines.select(F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
     if root is not None:
         df = df.withColumn("data_root", F.lit(root))
     return df if keep_malformed else df.where("_corrupt IS NULL").drop("_corrupt")
