@@ -77,3 +77,20 @@ def markdown(table: DataFrame, key: str, columns: list[str]) -> str:
 def publish(df: DataFrame, path: str) -> None:
     """A dataset by tier and subset."""
     df.write.mode("overwrite").partitionBy("tier", "subset").parquet(path)
+
+
+def sync_labels(path: str, task: str, labels: list[str]) -> bool:
+    """Set a task's label vocabulary in a registry file; False if it was so already."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        doc = yaml.safe_load(f) or {}
+    entry = doc[task] if isinstance(doc.get(task), dict) else doc
+    if entry.get("labels") == labels:
+        return False
+    entry["labels"] = labels
+    fd, name = tempfile.mkstemp(dir=os.path.dirname(path) or ".")
+    with os.fdopen(fd, "w", encoding="utf-8") as f:
+        yaml.safe_dump(doc, f, sort_keys=False, allow_unicode=True)
+    os.replace(name, path)
+    return True
