@@ -10,11 +10,12 @@ an edited copy of a few words, all of whose k-mers an edit can touch, may be mis
 
 Plan. Equal texts are one content from the start (a partial aggregation on a 128-bit digest); only contents have
 sketches, and copies are never expanded. Members of a sketch bucket are compared with the bucket's leader, who is
-another one for every third of the sketches; those that are no link to their leader elect a new one among themselves,
-until each has been a link or a leader. So a bucket of n costs about n comparisons, not n * n, and no bucket is gathered
-in one task: counting is a partial aggregation and the join to leaders splits hot keys. Classes are the connected
-components of the links, found by label propagation with pointer jumping. Only contents in shared buckets have their
-texts fetched, behind a blocked Bloom filter of fixed size.
+another one for every third of the sketches, so a group of n copies costs about n comparisons, not n * n, and isn't
+gathered in one task: counting is a partial aggregation and the join to leaders splits hot keys. Those that are no link
+to their leader meet in groups, where an index of rare words finds the pairs that can be within the limit (prefix
+filter, exact); a bucket of more than MOST_TOGETHER such texts is dealt out by these words before. Classes are the
+connected components of the links, found by label propagation with pointer jumping. Only contents in shared buckets
+have their texts fetched, behind a blocked Bloom filter of fixed size.
 
 Null text counts as empty; empty or equal texts are one class. A text shorter than SHINGLE words has one k-mer, itself.
 Null ids take part; a class's id is its least id, null only if it has no other. Repeated rows each get their row. Extra
@@ -23,6 +24,9 @@ columns aren't read. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -35,6 +39,7 @@ SHINGLE = 5
 SKETCHES, PICK = 32, 2
 SIMILARITY = 0.8
 LEADERS = 3
+MOST_TOGETHER = 2000
 BLOCK_BYTES = 1 << 20
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -139,8 +144,8 @@ def within(a: list, b: list, limit: int) -> int | None:
 
 
 def similar(a: list, b: list) -> bool:
-    longer = max(len(a), len(b))
-    return within(a, b, int((1 - SIMILARITY) * longer + 1e-9)) is not None
+    limit = int((1 - SIMILARITY) * max(len(a), len(b)) + 1e-9)
+    return within(a, b, limit) is not None
 
 
 def split(packed: bytes) -> list[bytes]:
@@ -175,10 +180,87 @@ def _compare(batches):
             a, b = a.as_py(), b.as_py()
             if b != last:
                 last, words = b, split(b)
-            ok.append(similar(split(a), words))
+                bag = Counter(words)
+            own = split(a)
+            common = sum((Counter(own) & bag).values())  # an edit takes away one word in common at most
+            ok.append(common >= SIMILARITY * max(len(own), len(words)) - 1e-9 and similar(own, words))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], names=["a", "b", "ok"])
 
 
+def labelled(words: list[bytes]) -> list[tuple[bytes, int]]:
+    """Each word with how often it has come before, so that common words count with their number."""
+    seen: dict[bytes, int] = {}
+    out = []
+    for w in words:
+        seen[w] = k = seen.get(w, -1) + 1
+        out.append((w, k))
+    return out
+
+
+def prefix(words: list[tuple[bytes, int]]) -> list[tuple[bytes, int]]:
+    """The first words, in one order for all texts (long ones first), of which texts within the limit share one at least.
+
+    Texts of n and m words within the limit have SIMILARITY * max(n, m) words in common, so of its own n each may leave
+    out all but the first n - SIMILARITY * n + 1."""
+    return sorted(words, key=lambda x: (-len(x[0]), x))[: int((1 - SIMILARITY) * len(words) + 1e-9) + 1]
+
+
+def _deal(batches):
+    """A row for each text of a bucket; of a large one a row for each word of the text's prefix, which splits it exactly."""
+    for batch in batches:
+        for sk, large, c, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            keys = [sk]
+            if large:
+                keys = [int.from_bytes(hashlib.blake2b(b"%d|%d|%b" % (sk, k, w), digest_size=8).digest(), "little", signed=True) for w, k in prefix(labelled(split(body)))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([c] * len(keys), pa.binary()), pa.array([body] * len(keys), pa.binary())], names=["key", "c", "body"])
+
+
+class Group:
+    """Links among texts that come one by one, found by the words of their prefixes; pairs that are connected already
+    are not compared."""
+
+    def __init__(self):
+        self.texts, self.parent, self.index = [], [], {}
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = i = self.parent[self.parent[i]]
+        return i
+
+    def add(self, c: bytes, body: bytes) -> list[tuple[bytes, bytes]]:
+        words, me, found = split(body), len(self.texts), []
+        own = labelled(words)
+        keys = prefix(own)
+        bag = np.sort(np.fromiter(map(hash, own), np.int64, len(own)))
+        near = {i for w in keys for i in self.index.get(w, ())}
+        self.texts.append((c, body, bag))
+        self.parent.append(me)
+        for i in sorted(near):
+            other, packed, theirs = self.texts[i]
+            least = SIMILARITY * max(len(theirs), len(bag)) - 1e-9
+            if other == c or min(len(theirs), len(bag)) < least or self.root(i) == self.root(me):
+                continue
+            # words in common: an edit takes away one at most
+            if len(np.intersect1d(theirs, bag, assume_unique=True)) >= least and similar(split(packed), words):
+                self.parent[self.root(me)] = self.root(i)
+                found.append((other, c))
+        for w in keys:
+            self.index.setdefault(w, []).append(me)
+        return found
+
+
+def _join_groups(batches):
+    at, group = None, None
+    for batch in batches:
+        out = []
+        for key, c, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if key != at:
+                at, group = key, Group()
+            out += group.add(c, body)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], names=["a", "b"])
+
+
 def _zip(batches):
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zstandard.compress((t or "").encode(), 3) for t in batch.column(1).to_pylist()], pa.binary())], names=["c", "body"])
@@ -189,31 +271,26 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = materialize(docs.select("doc_id", "c", "text").mapInArrow(_sketch, "doc_id long, c binary, sketch binary"))
     contents = materialize(rows.groupBy("c").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n"), F.first("sketch").alias("sketch")))
     members = contents.select("c", "sketch").mapInArrow(_explode, "c binary, sk long, third int")
-    bodies, done, first = None, None, True
-    while True:
-        order = F.struct(F.xxhash64("c", "third").alias("h"), "c")
-        leaders = members.groupBy("sk").agg(F.count("*").alias("n"), F.min(order).alias("leader")).where("n > 1").select("sk", F.col("leader.c").alias("leader"))
-        pairs = materialize(members.join(leaders, "sk").where("c != leader").select("sk", "third", "c", "leader", F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b")))
-        wanted = pairs.select("a", "b").distinct()
-        if done is not None:
-            wanted = wanted.join(done, ["a", "b"], "left_anti")
-        wanted = materialize(wanted)
-        if wanted.limit(1).count() == 0:
-            return contents, (done if done is not None else wanted.withColumn("ok", F.lit(True))).where("ok").select("a", "b")
-        if first:  # later rounds compare among the same contents
-            used = wanted.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-            used = materialize(contents.join(used, "c", "left_semi").select("c", "rep_id"))
-            words, n = bloom_filter(used, F.xxhash64("c"))
-            near = bloom_passes(docs.select("doc_id", "c", "text"), words, n, F.xxhash64("c"))
-            body = near.join(used.withColumnRenamed("c", "_c"), (F.col("c") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
-            bodies = materialize(body.select("c", "text").mapInArrow(_zip, "c binary, body binary").dropDuplicates(["c"]))
-            first = False
-        two = wanted.join(bodies.select(F.col("c").alias("a"), F.col("body").alias("body_a")), "a")
-        two = two.join(bodies.select(F.col("c").alias("b"), F.col("body").alias("body_b")), "b")
-        checked = two.select("a", "b", "body_a", "body_b").mapInArrow(_compare, "a binary, b binary, ok boolean")
-        done = materialize(checked if done is None else done.unionByName(checked))
-        # who is no link to its leader stays for another round
-        members = materialize(pairs.join(done.where("NOT ok").select("a", "b"), ["a", "b"], "left_semi").select("c", "sk", "third"))
+    order = F.struct(F.xxhash64("c", "third").alias("h"), "c")
+    leaders = members.groupBy("sk").agg(F.count("*").alias("n"), F.min(order).alias("leader")).where("n > 1").select("sk", F.col("leader.c").alias("leader"))
+    pairs = materialize(members.join(leaders, "sk").where("c != leader").select("sk", "c", F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b")))
+    wanted = materialize(pairs.select("a", "b").distinct())
+    used = wanted.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    used = materialize(contents.join(used, "c", "left_semi").select("c", "rep_id"))
+    words, n = bloom_filter(used, F.xxhash64("c"))
+    near = bloom_passes(docs.select("doc_id", "c", "text"), words, n, F.xxhash64("c"))
+    body = near.join(used.withColumnRenamed("c", "_c"), (F.col("c") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
+    bodies = materialize(body.select("c", "text").mapInArrow(_zip, "c binary, body binary").dropDuplicates(["c"]))
+    two = wanted.join(bodies.select(F.col("c").alias("a"), F.col("body").alias("body_a")), "a")
+    two = two.join(bodies.select(F.col("c").alias("b"), F.col("body").alias("body_b")), "b")
+    done = materialize(two.select("a", "b", "body_a", "body_b").mapInArrow(_compare, "a binary, b binary, ok boolean"))
+    # who is no link to its leader meets the others of its bucket that aren't
+    left = pairs.join(done.where("NOT ok").select("a", "b"), ["a", "b"], "left_semi").select("sk", "c")
+    sizes = left.groupBy("sk").agg(F.count("*").alias("n")).where("n > 1")
+    left = left.join(sizes, "sk").select("c", "sk", (F.col("n") > MOST_TOGETHER).alias("large")).join(bodies, "c").select("sk", "large", "c", "body")
+    groups = left.mapInArrow(_deal, "key long, c binary, body binary").repartition(F.col("key")).sortWithinPartitions("key", "c")
+    more = groups.mapInArrow(_join_groups, "a binary, b binary")
+    return contents, done.where("ok").select("a", "b").unionByName(more)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -64,8 +65,9 @@ def test_classes_against_brute_force(spark):
     assert [r.class_id for r in got if r.doc_id == 900] == [texts.index([])]
 
 
-def test_buckets_of_different_texts_elect_new_leaders(spark, monkeypatch):
-    # one sketch value for all: every pair that is a link to no leader must meet in a later round
+@pytest.mark.parametrize("most", [2000, 5])
+def test_one_bucket_of_different_texts_keeps_all_links(spark, monkeypatch, most):
+    # one sketch value for all: those that are no link to the leader must find each other
     import pyarrow as pa
 
     size = 8 * o.SKETCHES
@@ -75,6 +77,7 @@ def test_buckets_of_different_texts_elect_new_leaders(spark, monkeypatch):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bytes([1] * size)] * b.num_rows, pa.binary())], names=["doc_id", "c", "sketch"])
 
     monkeypatch.setattr(o, "_sketch", constant)
+    monkeypatch.setattr(o, "MOST_TOGETHER", most)
     rng = random.Random(8)
     rows = []
     for g in range(12):
