@@ -35,7 +35,7 @@ from .langid import remainder
 
 ORDER = 4
 EDGE = 255  # no byte of UTF-8; stands before the start and for the end
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 BUCKET_BYTES = 32 << 20
 HEAD, WORD, GRAM = 0, 1, 2
 PARTS = "kind int, block long, bucket int, doc_ids array<long>, lens array<int>, body binary"
