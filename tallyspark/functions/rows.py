@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import strip
+from ..sources.sinks import work_dir
 
 PLACEHOLDER = "<Audio><AudioHere></Audio>"
 SHOWN = "[audio]"
@@ -109,15 +110,28 @@ def task_of_path(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
 
 
-def with_ordinal(df: DataFrame, *by: str, name: str = "ordinal") -> DataFrame:
-    """df with the 0-based place of each row in the order of `by`, without bringing all rows to one task.
+def with_running(df: DataFrame, order: list, sums: dict[str, Column]) -> DataFrame:
+    """df with running sums (name: value) over all rows in an order, without bringing all rows to one task.
 
-    Rows are range-partitioned; each partition numbers its own and starts where the ones before it end.
+    Rows are range-partitioned and written to the shared folder once, as both the rows and the partitions' totals are read
+    from one and the same division; each partition adds up its own rows and starts where the ones before it end.
     """
-    parts = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))  # a row per partition
-    return parts.join(F.broadcast(before.select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+    spark = df.sparkSession
+    path = work_dir(spark)
+    df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    parts = spark.read.parquet(path)
+    totals = parts.groupBy("_part").agg(*(F.sum(v).alias(f"_{n}") for n, v in sums.items()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    totals = totals.select("_part", *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums))
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    for n, v in sums.items():
+        parts = parts.withColumn(n, F.sum(v).over(own))
+    return parts.join(F.broadcast(totals), "_part").select(*df.columns, *((F.col(n) + F.col(f"_{n}")).alias(n) for n in sums))
+
+
+def with_ordinal(df: DataFrame, *by: str, name: str = "ordinal") -> DataFrame:
+    """df with the 0-based place of each row in the order of `by`."""
+    return with_running(df, list(by), {name: F.lit(1).cast("long")}).withColumn(name, F.col(name) - 1)
 
 
 def build_request(system: str, template: str, fields: dict[str, Column], audio: Column | None = None, rate: int = 16000) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import with_running
 from ..functions.text import let, lits, normalize_whitespace
 from ..schemas import strip
 
@@ -94,10 +95,15 @@ def top1_accuracy(df: DataFrame, pred: str, target: str) -> DataFrame:
 @metric
 def average_precision(df: DataFrame, label: str, score: str, truth: str, ordinal: str, average: str = "macro") -> DataFrame:
     """Average precision over long rows (label, score, truth 0/1); equal scores stand in the order of ordinal, and a label
-    without a positive counts as 0. Macro needs the rows of one label in order (one window each)."""
+    without a positive counts as 0. Macro has a window for each label; micro ranks all rows by
+    range partition."""
     keys = [] if average == "micro" else [label]
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), ordinal) if keys else Window.partitionBy(F.lit(0)).orderBy(F.desc(score), ordinal, label)
-    ranked = df.withColumn("_rank", F.row_number().over(w)).withColumn("_tp", F.sum(truth).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    order = [F.desc(score), F.col(ordinal), F.col(label)]
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        ranked = df.withColumn("_rank", F.row_number().over(w)).withColumn("_tp", F.sum(truth).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        ranked = with_running(df, order, {"_rank": F.lit(1).cast("long"), "_tp": F.col(truth).cast("long")})
     each = ranked.groupBy(*keys).agg(F.sum(F.when(F.col(truth) == 1, F.col("_tp") / F.col("_rank"))).alias("s"), F.sum(truth).alias("p"))
     return each.agg(F.avg(F.when(F.col("p") > 0, F.col("s") / F.col("p")).otherwise(0.0)).alias("average_precision"))
 
