@@ -11,13 +11,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share."""
+def _work_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="tallyspark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tallyspark/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tallyspark/{spark.sparkContext.applicationId}"
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share."""
+    return f"{_work_root(spark)}/{uuid.uuid4().hex}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Remove all folders that work_dir gave this application, once their results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_work_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def canonical_json(**fields: Column) -> Column:

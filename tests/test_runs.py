@@ -76,6 +76,15 @@ def test_joins_and_selection(spark):
     assert sinks.markdown(table, "m", ["a", "b", "covered"]).splitlines()[-1] == "| m\\|x | 0.5000 | - | 1/2 |"
 
 
+def test_work_folders_can_be_cleared(spark):
+    path = sinks.work_dir(spark)
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    sinks.clear_work(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path).count()
+
+
 def test_checkpoint_merges(tmp_path):
     path = str(tmp_path / "c.json")
     sinks.write_checkpoint(path, "r", ["b"], 1, 3, [])
