@@ -2,36 +2,26 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import work_dir
+
 U64 = np.uint64
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="tallyspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tallyspark/{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write once to the shared folder and read back: the lineage is cut and no later stage computes df again."""
     spark = df.sparkSession
-    path = scratch_dir(spark)
+    path = work_dir(spark)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -186,3 +176,118 @@ class Words:
         self.hash = Rolling(self.data, seed).hash(self.start, self.stop)
         #: words of text i are [first[i], first[i + 1])
         self.first = np.concatenate([np.searchsorted(self.start, self.text_start), [len(self.start)]]).astype(np.int64)
+
+
+def pack_keys(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=U64(0)), counts)
+
+
+def unpack_keys(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, counts = unpack(body)
+    return np.cumsum(steps.astype(U64), dtype=U64), counts.astype(np.int64)
+
+
+class Sums:
+    """Counts by key, added up as they come; memory follows the distinct keys."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.size += len(keys)
+        if len(self.parts) > 1 and self.size > 2 * len(self.parts[0][0]) + 500_000:
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) > 1:
+            keys = np.concatenate([k for k, _ in self.parts])
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            self.parts = [(keys[first], np.add.reduceat(np.concatenate([c for _, c in self.parts])[order], first))]
+            self.size = len(first)
+        return self.parts[0]
+
+
+#: packed 64-bit hashes of a block, by bucket
+KEYS = "bucket int, body binary"
+
+
+def packed_keys(keys: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of KEYS: a block's distinct keys, and whether each occurs once or more often in it."""
+    keys, counts = np.unique(keys, return_counts=True)
+    bucket = (keys % U64(buckets)).astype(np.int32)
+    place = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[place], np.arange(buckets + 1))
+    rows = [(b, pack_keys(keys[p], np.minimum(counts[p], 2))) for b in range(buckets) if len(p := place[cuts[b] : cuts[b + 1]])]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "body"])
+
+
+def _shared(batches):
+    at, sums = None, None
+
+    def flush():
+        keys, counts = sums.total()
+        keys = keys[counts > 1].view(np.int64)
+        for i in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000])], names=["key"])
+
+    for batch in batches:
+        for bucket, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if bucket != at:
+                if sums:
+                    yield from flush()
+                at, sums = bucket, Sums()
+            sums.add(*unpack_keys(body))
+    if sums:
+        yield from flush()
+
+
+def shared_keys(packed: DataFrame) -> DataFrame:
+    """(key): the keys that occur twice or more in all blocks, from rows of KEYS; written out."""
+    return materialize(packed.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_shared, "key long"))
+
+
+class Bloom:
+    """A blocked Bloom filter over 64-bit hashes for tasks in Python; the same bits as bloom_words."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words  # blocks x 8
+        self.shift = U64(64 - (len(words).bit_length() - 1)) if len(words) > 1 else None
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        block = (keys >> self.shift).astype(np.int64) if self.shift is not None else np.zeros(len(keys), np.int64)
+        ok = np.ones(len(keys), dtype=bool)
+        for i in range(8):
+            ok &= (self.words[block, i] >> ((keys >> U64(6 * i)) & U64(63))) & U64(1) == 1
+        return ok
+
+
+def bloom_words(shared: DataFrame) -> np.ndarray:
+    """The words of the filter of shared.key, at most MAX_BLOCKS * 64 bytes, for the driver to broadcast."""
+    n, size = shared.count(), 1
+    while size < MAX_BLOCKS and size * 512 < BITS_PER_KEY * n:
+        size *= 2
+    block = F.shiftrightunsigned("key", 64 - (size.bit_length() - 1)) if size > 1 else F.lit(0).cast("long")
+    bit = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("key", 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(8)]
+    rows = shared.select(block.alias("b"), *(x.alias(f"w{i}") for i, x in enumerate(bit))).groupBy("b").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(8))).toArrow()
+    words = np.zeros((size, 8), dtype=np.int64)
+    at = rows.column("b").to_numpy()
+    for i in range(8):
+        words[at, i] = rows.column(f"w{i}").to_numpy()
+    return words.view(U64)
+
+
+#: rows of ids to leave out that are still sent to every task
+MOST_BROADCAST = 2_000_000
+
+
+def without(df: DataFrame, gone: DataFrame, on: Column) -> DataFrame:
+    """The rows of df that match none of gone (a table of keys). gone is written and counted: up to MOST_BROADCAST rows are
+    broadcast, so that df isn't shuffled; more are joined by key."""
+    gone = materialize(gone)
+    if gone.count() <= MOST_BROADCAST:
+        gone = F.broadcast(gone)
+    return df.join(gone, on, "left_anti")

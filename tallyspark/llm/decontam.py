@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, blocks, mix, texts
+from .common import U64, Words, blocks, mix, texts, without
 
 NGRAM = 3
 LEAST_SEEDS = 24
@@ -232,7 +232,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that hold a copy of a benchmark item, by id."""
     found = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, F.col(id_col).cast("long") == F.col("_leaked"), "left_anti")
+    return without(docs, found, F.col(id_col).cast("long") == F.col("_leaked"))
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -9,13 +9,15 @@ Texts that share a share s of their k-mers in order meet in some sketch with pro
 an edited copy of a few words, all of whose k-mers an edit can touch, may be missed.
 
 Plan. Equal texts are one content from the start (a partial aggregation on a 128-bit digest); only contents have
-sketches, and copies are never expanded. Members of a sketch bucket are compared with the bucket's leader, who is
-another one for every third of the sketches, so a group of n copies costs about n comparisons, not n * n, and isn't
-gathered in one task: counting is a partial aggregation and the join to leaders splits hot keys. Those that are no link
-to their leader meet in groups, where an index of rare words finds the pairs that can be within the limit (prefix
-filter, exact); a bucket of more than MOST_TOGETHER such texts is dealt out by these words before. Classes are the
-connected components of the links, found by label propagation with pointer jumping. Only contents in shared buckets
-have their texts fetched, behind a blocked Bloom filter of fixed size.
+sketches, and copies are never expanded. Contents that share a sketch are a bucket; sketches of one content only are
+dropped early (packed counts by hash bucket, then a Bloom filter of fixed size). Members are compared with the bucket's
+leader, who is another one for every third of the sketches, so a group of n copies costs about n comparisons, not n * n,
+and isn't gathered in one task: counting is a partial aggregation and the join to leaders splits hot keys. A passage that
+many texts have makes large buckets of texts that are otherwise different. Of these, those that are no link to their
+leader are split by their next sketch, on which near-duplicates agree as on the first, REFINED times at most. All others
+that are no link to their leader meet in groups, where an index of rare words finds all pairs that can be within the
+limit (prefix filter, exact). Classes are the connected components of the links, found by label propagation with pointer
+jumping. Only contents in shared buckets have their texts fetched, behind a Bloom filter again.
 
 Null text counts as empty; empty or equal texts are one class. A text shorter than SHINGLE words has one k-mer, itself.
 Null ids take part; a class's id is its least id, null only if it has no other. Repeated rows each get their row. Extra
@@ -24,7 +26,6 @@ columns aren't read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 
 import numpy as np
@@ -33,14 +34,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, blocks, bloom_filter, bloom_passes, materialize, mix, texts
+from .common import KEYS, U64, Bloom, Words, blocks, bloom_filter, bloom_passes, bloom_words, materialize, mix, packed_keys, shared_keys, texts
 
 SHINGLE = 5
 SKETCHES, PICK = 32, 2
 SIMILARITY = 0.8
 LEADERS = 3
-MOST_TOGETHER = 2000
+MOST_TOGETHER, REFINED = 256, 1
 BLOCK_BYTES = 1 << 20
+BUCKETS = 64
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -163,14 +165,40 @@ def _sketch(batches):
         yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array([r.astype("<u8").tobytes() if r.any() else None for r in rows], pa.binary())], names=["doc_id", "c", "sketch"])
 
 
-def _explode(batches):
+def _keys(batches):
     for batch in batches:
-        c, s = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for i in range(0, len(c), 2000):
-            own = [(x, np.frombuffer(y, "<u8")) for x, y in zip(c[i : i + 2000], s[i : i + 2000], strict=True) if y is not None]
+        own = [x for x in batch.column(0).to_pylist() if x is not None]
+        if own:
+            yield from packed_keys(np.frombuffer(b"".join(own), "<u8"), BUCKETS)
+
+
+def _explode(held):
+    """A row for each sketch of a content that another content may have too."""
+
+    def run(batches):
+        bloom = Bloom(held.value)
+        for batch in batches:
+            own = [(x, y) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if y is not None]
             if own:
-                sk = np.concatenate([y for _, y in own]).astype(np.int64, casting="unsafe")
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own for _ in range(SKETCHES)], pa.binary()), pa.array(sk), pa.array(np.tile(np.arange(SKETCHES, dtype=np.int32) % LEADERS, len(own)))], names=["c", "sk", "third"])
+                keys = np.frombuffer(b"".join(y for _, y in own), "<u8")
+                at = np.flatnonzero(bloom.passes(keys))
+                who, t = at // SKETCHES, (at % SKETCHES).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([own[i][0] for i in who], pa.binary()), pa.array(keys[at].astype(np.int64)), pa.array(t)], names=["c", "key", "t"])
+
+    return run
+
+
+def _refine(level: int):
+    """The key of a bucket with the member's sketch that comes `level` places on."""
+
+    def run(batches):
+        for batch in batches:
+            key, t = batch.column(1).to_numpy().view(U64), batch.column(2).to_numpy()
+            more = np.array([np.frombuffer(s, "<u8")[(x + level) % SKETCHES] for s, x in zip(batch.column(3).to_pylist(), t.tolist(), strict=True)], dtype=U64)
+            if len(more):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mix(key * U64(0x9E3779B97F4A7C15) + more).view(np.int64)), batch.column(2)], names=["c", "key", "t"])
+
+    return run
 
 
 def _compare(batches):
@@ -205,16 +233,6 @@ def prefix(words: list[tuple[bytes, int]]) -> list[tuple[bytes, int]]:
     return sorted(words, key=lambda x: (-len(x[0]), x))[: int((1 - SIMILARITY) * len(words) + 1e-9) + 1]
 
 
-def _deal(batches):
-    """A row for each text of a bucket; of a large one a row for each word of the text's prefix, which splits it exactly."""
-    for batch in batches:
-        for sk, large, c, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            keys = [sk]
-            if large:
-                keys = [int.from_bytes(hashlib.blake2b(b"%d|%d|%b" % (sk, k, w), digest_size=8).digest(), "little", signed=True) for w, k in prefix(labelled(split(body)))]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([c] * len(keys), pa.binary()), pa.array([body] * len(keys), pa.binary())], names=["key", "c", "body"])
-
-
 class Group:
     """Links among texts that come one by one, found by the words of their prefixes; pairs that are connected already
     are not compared."""
@@ -270,32 +288,50 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(contents, links) of docs (doc_id, c, text): (c, rep_id, n) and (a, b), the pairs of contents found alike."""
     rows = materialize(docs.select("doc_id", "c", "text").mapInArrow(_sketch, "doc_id long, c binary, sketch binary"))
     contents = materialize(rows.groupBy("c").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n"), F.first("sketch").alias("sketch")))
-    members = contents.select("c", "sketch").mapInArrow(_explode, "c binary, sk long, third int")
-    order = F.struct(F.xxhash64("c", "third").alias("h"), "c")
-    leaders = members.groupBy("sk").agg(F.count("*").alias("n"), F.min(order).alias("leader")).where("n > 1").select("sk", F.col("leader.c").alias("leader"))
-    pairs = materialize(members.join(leaders, "sk").where("c != leader").select("sk", "c", F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b")))
-    wanted = materialize(pairs.select("a", "b").distinct())
-    used = wanted.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    used = materialize(contents.join(used, "c", "left_semi").select("c", "rep_id"))
-    words, n = bloom_filter(used, F.xxhash64("c"))
-    near = bloom_passes(docs.select("doc_id", "c", "text"), words, n, F.xxhash64("c"))
-    body = near.join(used.withColumnRenamed("c", "_c"), (F.col("c") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
-    bodies = materialize(body.select("c", "text").mapInArrow(_zip, "c binary, body binary").dropDuplicates(["c"]))
-    two = wanted.join(bodies.select(F.col("c").alias("a"), F.col("body").alias("body_a")), "a")
-    two = two.join(bodies.select(F.col("c").alias("b"), F.col("body").alias("body_b")), "b")
-    done = materialize(two.select("a", "b", "body_a", "body_b").mapInArrow(_compare, "a binary, b binary, ok boolean"))
-    # who is no link to its leader meets the others of its bucket that aren't
-    left = pairs.join(done.where("NOT ok").select("a", "b"), ["a", "b"], "left_semi").select("sk", "c")
-    sizes = left.groupBy("sk").agg(F.count("*").alias("n")).where("n > 1")
-    left = left.join(sizes, "sk").select("c", "sk", (F.col("n") > MOST_TOGETHER).alias("large")).join(bodies, "c").select("sk", "large", "c", "body")
-    groups = left.mapInArrow(_deal, "key long, c binary, body binary").repartition(F.col("key")).sortWithinPartitions("key", "c")
-    more = groups.mapInArrow(_join_groups, "a binary, b binary")
+    # sketches that only one content has go no further than their block
+    shared = bloom_words(shared_keys(contents.select("sketch").mapInArrow(_keys, KEYS)))
+    members = contents.select("c", "sketch").mapInArrow(_explode(docs.sparkSession.sparkContext.broadcast(shared)), "c binary, key long, t int")
+    bodies, done, left = None, None, None
+    for level in range(REFINED + 1):
+        order = F.struct(F.xxhash64("c", F.col("t") % LEADERS).alias("h"), "c")
+        leaders = members.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("leader")).where("n > 1").select("key", (F.col("n") > MOST_TOGETHER).alias("large"), F.col("leader.c").alias("leader"))
+        pairs = members.join(leaders, "key").where("c != leader").select("key", "t", "large", "c", F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b"))
+        pairs = materialize(pairs)
+        wanted = pairs.select("a", "b").distinct()
+        wanted = materialize(wanted if done is None else wanted.join(done, ["a", "b"], "left_anti"))
+        if bodies is None:  # later levels compare among the same contents
+            used = wanted.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+            used = materialize(contents.join(used, "c", "left_semi").select("c", "rep_id"))
+            words, n = bloom_filter(used, F.xxhash64("c"))
+            near = bloom_passes(docs.select("doc_id", "c", "text"), words, n, F.xxhash64("c"))
+            # an inner join, as a semi join would be moved in front of the filter; contents are unique
+            body = near.join(used.withColumnRenamed("c", "_c"), (F.col("c") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
+            bodies = materialize(body.select("c", "text").mapInArrow(_zip, "c binary, body binary").dropDuplicates(["c"]))
+        two = wanted.join(bodies.select(F.col("c").alias("a"), F.col("body").alias("body_a")), "a")
+        two = two.join(bodies.select(F.col("c").alias("b"), F.col("body").alias("body_b")), "b")
+        checked = materialize(two.select("a", "b", "body_a", "body_b").mapInArrow(_compare, "a binary, b binary, ok boolean"))
+        done = checked if done is None else done.unionByName(checked)
+        # who is no link to its leader
+        failed = materialize(pairs.join(done.where("NOT ok").select("a", "b"), ["a", "b"], "left_semi").select("key", "t", "large", "c"))
+        last = level == REFINED
+        own = failed.select("key", "c") if last else failed.where("NOT large").select("key", "c")
+        left = own if left is None else left.unionByName(own)
+        if last or failed.where("large").limit(1).count() == 0:
+            break
+        large = failed.where("large").select("c", "key", "t").join(contents.select("c", "sketch"), "c")
+        members = materialize(large.select("c", "key", "t", "sketch").mapInArrow(_refine(level + 1), "c binary, key long, t int"))
+    # they meet the others of their bucket that aren't
+    several = left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    left = left.join(several, "key").join(bodies, "c").select("key", "c", "body")
+    more = left.repartition(F.col("key")).sortWithinPartitions("key", "c").mapInArrow(_join_groups, "a binary, b binary")
     return contents, done.where("ok").select("a", "b").unionByName(more)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(c, label): the least node of the component of each node of edges (a, b)."""
-    both = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))))
+    # buckets find the same links again and again
+    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("label")))
     while True:
         near = both.join(labels.select(F.col("c").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))

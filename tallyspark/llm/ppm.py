@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, blocks, input_bytes, materialize, mix, pack, texts, unpack
+from .common import U64, Sums, Words, blocks, input_bytes, materialize, mix, pack, pack_keys, texts, unpack, unpack_keys
 from .langid import remainder
 
 ORDER = 4
@@ -87,15 +87,6 @@ def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return place, np.searchsorted(bucket[place], np.arange(buckets + 1))
 
 
-def pack_keys(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    return pack(np.diff(keys, prepend=U64(0)), counts)
-
-
-def unpack_keys(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    steps, counts = unpack(body)
-    return np.cumsum(steps.astype(U64), dtype=U64), counts.astype(np.int64)
-
-
 def _cut(buckets: int):
     def run(batches):
         number = 0
@@ -119,29 +110,6 @@ def _cut(buckets: int):
     return run
 
 
-class Sums:
-    """Counts by key, added up as they come; memory follows the distinct keys."""
-
-    def __init__(self):
-        self.parts, self.size = [], 0
-
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.append((keys, counts))
-        self.size += len(keys)
-        if len(self.parts) > 1 and self.size > 2 * len(self.parts[0][0]) + 500_000:
-            self.total()
-
-    def total(self) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.parts) > 1:
-            keys = np.concatenate([k for k, _ in self.parts])
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            self.parts = [(keys[first], np.add.reduceat(np.concatenate([c for _, c in self.parts])[order], first))]
-            self.size = len(first)
-        return self.parts[0]
-
-
 def _by_bucket(batches):
     """Rows of one bucket after another: (bucket, rows), from rows sorted by bucket."""
     at, held = None, []
