@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe, decontam, orderminhash, quality, surrogates
-from tallyspark.llm.common import materialize
+from tallyspark.llm.common import materialize, without
 
 #: the key of the surrogates; whoever runs the pipeline sets their own
 KEY = b"set by whoever runs it"
@@ -24,12 +24,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class: that of its least id and, of rows with this id, one of the least content."""
-    classes = orderminhash.near_duplicates(docs.select("doc_id", "text"))
-    stays = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class").agg(F.min("class_id").alias("_id"), F.min("c").alias("_c"))
-    rows = docs.withColumn("_key", orderminhash.content(F.col("text")))
-    # a content stays in one class only, so its key finds the row; repeated rows of one id and content are one
-    kept = rows.join(stays.select("_id", "_c"), (F.col("_key") == F.col("_c")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+    classes = orderminhash.near_duplicates(docs.select("doc_id", "text")).where("class_size > 1")
+    own = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    stays = classes.where(own).groupBy("class").agg(F.min("c").alias("_stays"))
+    marked = materialize(classes.join(stays, "class").select("doc_id", "c", (own & (F.col("c") == F.col("_stays"))).alias("keep")))
+    key = orderminhash.content(F.col("text"))
+    match = (key == F.col("_c")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    pairs = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("c").alias("_c"))
+    rows = without(docs, pairs(marked.where("NOT keep")).distinct(), match)
+    # rows that repeat both id and text are one
+    again = pairs(marked.where("keep")).groupBy("_id", "_c").count().where("count > 1").drop("count")
+    if again.limit(1).count() == 0:
+        return rows
+    one = rows.join(again, match, "left_semi").withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return without(rows, again, match).unionByName(one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
