@@ -152,6 +152,15 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     return df.select("_row.*", *NEW)
 
 
+def accepted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that the rules keep, with the columns of docs.
+
+    The row number is there to keep the optimizer from pushing the filter, and with it a copy of every expression that it
+    is made of, below the projections that compute them once."""
+    out = quality_rules(docs, text_col, lang_col).withColumn("_at", F.monotonically_increasing_id())
+    return out.where(F.col("kept") & (F.col("_at") >= 0)).select(*(F.col(f"`{c}`") for c in docs.columns if c not in NEW))
+
+
 def op1_quality(spark, sf_dir: str) -> DataFrame:
     """Counts and verdict for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
