@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, input_bytes, pack, texts, unpack
+from .common import blocks, input_bytes, pack, texts, trim, unpack
 
 BLOCK_BYTES = 12 << 20
 PARTS = "block long, bucket int, doc_ids array<long>, lens array<int>, body binary"
@@ -60,12 +60,12 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def _pretokenize(pattern: str, id_col: str, text_col: str, buckets: int):
+def _pretokenize(pattern: str, id_col: str, text_col: str, buckets: int, block_bytes: int):
     def run(batches):
         import regex
 
         find, number = regex.compile(pattern).findall, 0
-        for block in blocks(batches, text_col, BLOCK_BYTES):
+        for block in blocks(batches, text_col, block_bytes):
             key = (TaskContext.get().partitionId() << 32) + number
             number += 1
             local: defaultdict = defaultdict()
@@ -114,6 +114,7 @@ def _encode_words(ranks, pattern: str):
     """Bucket by bucket: each distinct word is encoded once, whichever block it comes from."""
 
     def run(batches):
+        trim()
         encode = _encoder(ranks.value, pattern)._encode_single_piece
         at, known = None, {}
         for batch in batches:
@@ -175,6 +176,7 @@ def _reassemble(id_col: str):
             yield ids_batch(id_col, doc_ids, arrays)
 
     def run(batches):
+        trim()
         head, parts = None, []
         for batch in batches:
             for row in batch.to_pylist():
@@ -196,13 +198,14 @@ def ids_batch(id_col: str, doc_ids: list, arrays: list[np.ndarray]) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))], names=[id_col, "ids"])
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids array<int>): the ids of each whole text, pre-token by pre-token, without special tokens."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id_col, ids array<int>): the ids of each whole text, pre-token by pre-token, without special tokens. Larger blocks
+    send fewer words and need more memory in a task."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
     buckets = min(4096, max(64, math.isqrt(input_bytes(docs, text_col) >> 16)))
-    parts = docs.mapInArrow(_pretokenize(pattern, id_col, text_col, buckets), PARTS)
+    parts = docs.mapInArrow(_pretokenize(pattern, id_col, text_col, buckets, block_bytes), PARTS)
     # words meet by bucket; positions, in bucket -1, are dealt out by block and pass through
     by_word = parts.repartition(F.expr("CASE WHEN bucket < 0 THEN block ELSE bucket END")).sortWithinPartitions("bucket")
     coded = by_word.mapInArrow(_encode_words(ranks, pattern), PARTS)
@@ -212,6 +215,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
 def _decode(table, ids_col: str, schema_names: list[str]):
     def run(batches):
+        trim()
         tokens = table.value
         for batch in batches:
             at = batch.schema.get_field_index(ids_col)

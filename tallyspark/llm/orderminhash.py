@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEYS, U64, Bloom, Words, blocks, bloom_filter, bloom_passes, bloom_words, materialize, mix, packed_keys, shared_keys, texts
+from .common import KEYS, U64, Bloom, Words, blocks, bloom_filter, bloom_passes, bloom_words, materialize, mix, packed_keys, shared_keys, texts, trim
 
 SHINGLE = 5
 SKETCHES, PICK = 32, 2
@@ -202,6 +202,7 @@ def _refine(level: int):
 
 
 def _compare(batches):
+    trim()
     for batch in batches:
         ok, last, words = [], None, None
         for a, b in zip(batch.column(2), batch.column(3), strict=True):
@@ -268,6 +269,7 @@ class Group:
 
 
 def _join_groups(batches):
+    trim()
     at, group = None, None
     for batch in batches:
         out = []
