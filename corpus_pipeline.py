@@ -16,6 +16,8 @@ from tallyspark.llm.common import materialize, without
 
 #: the key of the surrogates; whoever runs the pipeline sets their own
 KEY = b"set by whoever runs it"
+#: after four other stages, executors have less memory to spare than for BPE alone
+BPE_BLOCK_BYTES = 4 << 20
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path).select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN, block_bytes=BPE_BLOCK_BYTES), path).select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
