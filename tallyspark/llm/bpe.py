@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, input_bytes, pack, texts, trim, unpack
+from .common import blocks, input_bytes, lean, pack, texts, unpack
 
 BLOCK_BYTES = 12 << 20
 PARTS = "block long, bucket int, doc_ids array<long>, lens array<int>, body binary"
@@ -114,7 +114,6 @@ def _encode_words(ranks, pattern: str):
     """Bucket by bucket: each distinct word is encoded once, whichever block it comes from."""
 
     def run(batches):
-        trim()
         encode = _encoder(ranks.value, pattern)._encode_single_piece
         at, known = None, {}
         for batch in batches:
@@ -176,7 +175,6 @@ def _reassemble(id_col: str):
             yield ids_batch(id_col, doc_ids, arrays)
 
     def run(batches):
-        trim()
         head, parts = None, []
         for batch in batches:
             for row in batch.to_pylist():
@@ -205,17 +203,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
     buckets = min(4096, max(64, math.isqrt(input_bytes(docs, text_col) >> 16)))
-    parts = docs.mapInArrow(_pretokenize(pattern, id_col, text_col, buckets, block_bytes), PARTS)
+    parts = docs.mapInArrow(lean(_pretokenize(pattern, id_col, text_col, buckets, block_bytes)), PARTS)
     # words meet by bucket; positions, in bucket -1, are dealt out by block and pass through
     by_word = parts.repartition(F.expr("CASE WHEN bucket < 0 THEN block ELSE bucket END")).sortWithinPartitions("bucket")
-    coded = by_word.mapInArrow(_encode_words(ranks, pattern), PARTS)
+    coded = by_word.mapInArrow(lean(_encode_words(ranks, pattern)), PARTS)
     whole = coded.repartition(F.col("block")).sortWithinPartitions("block", "bucket")
-    return whole.mapInArrow(_reassemble(id_col), f"`{id_col}` long, ids array<int>")
+    return whole.mapInArrow(lean(_reassemble(id_col)), f"`{id_col}` long, ids array<int>")
 
 
 def _decode(table, ids_col: str, schema_names: list[str]):
     def run(batches):
-        trim()
         tokens = table.value
         for batch in batches:
             at = batch.schema.get_field_index(ids_col)
@@ -232,7 +229,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
     table = {i: b for b, i in ranks_of(read_ranks(ranks_path)).items()}
     held = encoded.sparkSession.sparkContext.broadcast(table)
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
-    return encoded.mapInArrow(_decode(held, ids_col, encoded.columns), schema)
+    return encoded.mapInArrow(lean(_decode(held, ids_col, encoded.columns)), schema)
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize
 
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
 #: Java, Python and RE2 read this alike
@@ -152,7 +152,7 @@ def pack(prefixes: DataFrame) -> DataFrame:
     of the loss mask."""
     spark = prefixes.sparkSession
     nodes = prefixes.groupBy("key").agg(*(F.first(c).alias(c) for c in ("depth", "tokens", "loss_start", "loss_stop")))
-    local = materialize(nodes.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(_lay_out, LOCAL))
+    local = materialize(nodes.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(lean(_lay_out), LOCAL))
     starts, base, stack, path = {}, 0, [], b""
     for r in sorted(local.where("key IS NULL").select("pid", "at", "above", "open").collect(), key=lambda r: r.pid):
         starts[r.pid] = (base, stack)
@@ -160,12 +160,12 @@ def pack(prefixes: DataFrame) -> DataFrame:
         stack = [(x.start + base, x.stop + base) if x else stack[i] for i, x in enumerate(r.above)]
         base += r["at"]
     held = spark.sparkContext.broadcast(starts)
-    return local.where("key IS NOT NULL").mapInArrow(_place(held), NODE)
+    return local.where("key IS NOT NULL").mapInArrow(lean(_place(held)), NODE)
 
 
 def trees(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(prefixes, nodes) of conversations (conv_id, turn, role, text)."""
-    prefixes = materialize(gather(conversations).mapInArrow(_prefixes, PREFIX))
+    prefixes = materialize(gather(conversations).mapInArrow(lean(_prefixes), PREFIX))
     return prefixes, pack(prefixes)
 
 
@@ -196,7 +196,7 @@ def op6_prefix_tree(spark, sf_dir: str) -> DataFrame:
     prefixes, nodes = trees(rows.unionByName(extra))
     loss = F.expr("substring(tokens, int(loss_start - start) + 1, int(loss_stop - loss_start))")
     path = prefixes.select("conv_id", "key").join(nodes.select("key", "depth", "tokens", loss.alias("loss")), "key")
-    return path.groupBy("conv_id").agg(F.collect_list(F.struct("depth", "tokens", "loss")).alias("parts")).mapInArrow(_digests, DIGEST)
+    return path.groupBy("conv_id").agg(F.collect_list(F.struct("depth", "tokens", "loss")).alias("parts")).mapInArrow(lean(_digests), DIGEST)
 
 
 ORACLE = r"""

@@ -52,9 +52,19 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def lean(run):
+    """run, a function for mapInArrow, with a trim before it and after all that it held is gone."""
+
+    def task(batches):
+        trim()
+        yield from run(batches)
+        trim()
+
+    return task
+
+
 def blocks(batches: Iterable[pa.RecordBatch], text_col: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut and join Arrow batches into blocks of about `most` text bytes; a single longer text is a block of its own."""
-    trim()
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -259,7 +269,7 @@ def _shared(batches):
 
 def shared_keys(packed: DataFrame) -> DataFrame:
     """(key): the keys that occur twice or more in all blocks, from rows of KEYS; written out."""
-    return materialize(packed.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_shared, "key long"))
+    return materialize(packed.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(lean(_shared), "key long"))
 
 
 class Bloom:

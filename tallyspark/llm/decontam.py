@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, blocks, mix, texts, without
+from .common import U64, Words, blocks, lean, mix, texts, without
 
 NGRAM = 3
 LEAST_SEEDS = 24
@@ -210,7 +210,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         used = np.flatnonzero(grams)
         known, number = np.unique(grams[used], return_inverse=True)
         count = np.zeros(len(known), dtype=np.int64)
-        counted = docs.mapInArrow(_count(spark.sparkContext.broadcast(known), "text"), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        counted = docs.mapInArrow(lean(_count(spark.sparkContext.broadcast(known), "text")), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         for r in counted.collect():  # as many rows as the block has n-grams
             count[r["gram"]] = r["n"]
         order = np.lexsort((place[used], count[number], item[used]))
@@ -225,7 +225,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         seeds, counts = np.unique(number[by_seed], return_counts=True)
         first = np.concatenate([[0], np.cumsum(counts)])
         held = spark.sparkContext.broadcast((known[seeds], first, item[used][by_seed], place[used][by_seed], ids, words.hash, words.first))
-        out = out.unionByName(docs.mapInArrow(_search(held, "doc_id", "text"), schema))
+        out = out.unionByName(docs.mapInArrow(lean(_search(held, "doc_id", "text")), schema))
     return out
 
 

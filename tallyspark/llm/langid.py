@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, lean
 
 LONGEST = 3
 LANDMARKS = 256
@@ -148,7 +148,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return picked.mapInArrow(run, f"`{id_col}` long, lang_pred string, score double")
+    return picked.mapInArrow(lean(run), f"`{id_col}` long, lang_pred string, score double")
 
 
 def remainder(id_col: str, divisor: int) -> Column:

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEYS, U64, Bloom, Words, blocks, bloom_filter, bloom_passes, bloom_words, materialize, mix, packed_keys, shared_keys, texts, trim
+from .common import KEYS, U64, Bloom, Words, blocks, bloom_filter, bloom_passes, bloom_words, lean, materialize, mix, packed_keys, shared_keys, texts
 
 SHINGLE = 5
 SKETCHES, PICK = 32, 2
@@ -202,7 +202,6 @@ def _refine(level: int):
 
 
 def _compare(batches):
-    trim()
     for batch in batches:
         ok, last, words = [], None, None
         for a, b in zip(batch.column(2), batch.column(3), strict=True):
@@ -269,7 +268,6 @@ class Group:
 
 
 def _join_groups(batches):
-    trim()
     at, group = None, None
     for batch in batches:
         out = []
@@ -288,11 +286,11 @@ def _zip(batches):
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(contents, links) of docs (doc_id, c, text): (c, rep_id, n) and (a, b), the pairs of contents found alike."""
-    rows = materialize(docs.select("doc_id", "c", "text").mapInArrow(_sketch, "doc_id long, c binary, sketch binary"))
+    rows = materialize(docs.select("doc_id", "c", "text").mapInArrow(lean(_sketch), "doc_id long, c binary, sketch binary"))
     contents = materialize(rows.groupBy("c").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n"), F.first("sketch").alias("sketch")))
     # sketches that only one content has go no further than their block
-    shared = bloom_words(shared_keys(contents.select("sketch").mapInArrow(_keys, KEYS)))
-    members = contents.select("c", "sketch").mapInArrow(_explode(docs.sparkSession.sparkContext.broadcast(shared)), "c binary, key long, t int")
+    shared = bloom_words(shared_keys(contents.select("sketch").mapInArrow(lean(_keys), KEYS)))
+    members = contents.select("c", "sketch").mapInArrow(lean(_explode(docs.sparkSession.sparkContext.broadcast(shared))), "c binary, key long, t int")
     bodies, done, left = None, None, None
     for level in range(REFINED + 1):
         order = F.struct(F.xxhash64("c", F.col("t") % LEADERS).alias("h"), "c")
@@ -308,10 +306,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             near = bloom_passes(docs.select("doc_id", "c", "text"), words, n, F.xxhash64("c"))
             # an inner join, as a semi join would be moved in front of the filter; contents are unique
             body = near.join(used.withColumnRenamed("c", "_c"), (F.col("c") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
-            bodies = materialize(body.select("c", "text").mapInArrow(_zip, "c binary, body binary").dropDuplicates(["c"]))
+            bodies = materialize(body.select("c", "text").mapInArrow(lean(_zip), "c binary, body binary").dropDuplicates(["c"]))
         two = wanted.join(bodies.select(F.col("c").alias("a"), F.col("body").alias("body_a")), "a")
         two = two.join(bodies.select(F.col("c").alias("b"), F.col("body").alias("body_b")), "b")
-        checked = materialize(two.select("a", "b", "body_a", "body_b").mapInArrow(_compare, "a binary, b binary, ok boolean"))
+        checked = materialize(two.select("a", "b", "body_a", "body_b").mapInArrow(lean(_compare), "a binary, b binary, ok boolean"))
         done = checked if done is None else done.unionByName(checked)
         # who is no link to its leader
         failed = materialize(pairs.join(done.where("NOT ok").select("a", "b"), ["a", "b"], "left_semi").select("key", "t", "large", "c"))
@@ -321,11 +319,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if last or failed.where("large").limit(1).count() == 0:
             break
         large = failed.where("large").select("c", "key", "t").join(contents.select("c", "sketch"), "c")
-        members = materialize(large.select("c", "key", "t", "sketch").mapInArrow(_refine(level + 1), "c binary, key long, t int"))
+        members = materialize(large.select("c", "key", "t", "sketch").mapInArrow(lean(_refine(level + 1)), "c binary, key long, t int"))
     # they meet the others of their bucket that aren't
     several = left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     left = left.join(several, "key").join(bodies, "c").select("key", "c", "body")
-    more = left.repartition(F.col("key")).sortWithinPartitions("key", "c").mapInArrow(_join_groups, "a binary, b binary")
+    more = left.repartition(F.col("key")).sortWithinPartitions("key", "c").mapInArrow(lean(_join_groups), "a binary, b binary")
     return contents, done.where("ok").select("a", "b").unionByName(more)
 
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Sums, Words, blocks, input_bytes, materialize, mix, pack, pack_keys, texts, unpack, unpack_keys
+from .common import U64, Sums, Words, blocks, input_bytes, lean, materialize, mix, pack, pack_keys, texts, unpack, unpack_keys
 from .langid import remainder
 
 ORDER = 4
@@ -334,28 +334,28 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     buckets = max(64, input_bytes(docs, "text") // BUCKET_BYTES)
-    parts = materialize(docs.mapInArrow(_cut(buckets), PARTS), "kind")
+    parts = materialize(docs.mapInArrow(lean(_cut(buckets)), PARTS), "kind")
     parts = parts.select(*_PARTS)
     by_bucket = lambda df: df.repartition(F.col("bucket")).sortWithinPartitions("bucket", "block")
 
-    words = materialize(by_bucket(parts.where(F.col("kind") == WORD)).mapInArrow(_word_counts, PARTS))
+    words = materialize(by_bucket(parts.where(F.col("kind") == WORD)).mapInArrow(lean(_word_counts), PARTS))
     totals = words.where("block < 0").agg(F.sum(F.col("doc_ids")[0]).alias("v"), F.sum(F.col("doc_ids")[1]).alias("n")).first()
     teaches = F.size(F.filter("lens", lambda x: x >= 0))
     ends = parts.where(F.col("kind") == HEAD).agg(F.sum(teaches).alias("n")).first()["n"] or 0
     n_all, distinct = (totals["n"] or 0) + ends, (totals["v"] or 0) + (ends > 0)
 
-    grams = materialize(by_bucket(parts.where(F.col("kind") == GRAM)).mapInArrow(_gram_sums, "bucket int, gram long, n long"))
+    grams = materialize(by_bucket(parts.where(F.col("kind") == GRAM)).mapInArrow(lean(_gram_sums), "bucket int, gram long, n long"))
     pair = F.expr("shiftright(gram, 8) & 65535")
     short = grams.groupBy(F.expr("gram & 65535").alias("code")).agg(F.sum("n").alias("n"))
     held = spark.sparkContext.broadcast([(r["code"], r["n"]) for r in short.collect()])  # at most 65,536 rows
     logs = grams.withColumn("pair", pair).repartition(F.col("pair")).sortWithinPartitions("pair").drop("pair")
-    logs = logs.mapInArrow(_gram_logs(held), "bucket int, gram long, log float")
-    logs = logs.repartition(F.col("bucket")).sortWithinPartitions("bucket", "gram").mapInArrow(_pack_logs, PARTS)
-    back = by_bucket(logs.unionByName(parts.where(F.col("kind") == GRAM))).mapInArrow(_gram_back, PARTS)
+    logs = logs.mapInArrow(lean(_gram_logs(held)), "bucket int, gram long, log float")
+    logs = logs.repartition(F.col("bucket")).sortWithinPartitions("bucket", "gram").mapInArrow(lean(_pack_logs), PARTS)
+    back = by_bucket(logs.unionByName(parts.where(F.col("kind") == GRAM))).mapInArrow(lean(_gram_back), PARTS)
 
     whole = parts.where(F.col("kind") == HEAD).unionByName(words.where("block >= 0")).unionByName(back)
     whole = whole.repartition(F.col("block")).sortWithinPartitions("block", "kind", "bucket")
-    sums = whole.mapInArrow(_sum_texts(buckets, ends), "doc_id long, train boolean, n_tokens long, n_known long, word_logs double, score double")
+    sums = whole.mapInArrow(lean(_sum_texts(buckets, ends)), "doc_id long, train boolean, n_tokens long, n_known long, word_logs double, score double")
     per_token = math.log10(n_all + 0.1 * (distinct + 1))
     base = F.col("word_logs") - F.col("n_tokens") * F.lit(per_token)
     return sums.select("doc_id", "train", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BLOCKS, U64, Rolling, blocks, input_bytes, materialize, mix, pack, texts, unpack
+from .common import MAX_BLOCKS, U64, Rolling, blocks, input_bytes, lean, materialize, mix, pack, texts, unpack
 from .ppm import Sums, pack_keys, unpack_keys
 
 LENGTH, SEED = 100, 50
@@ -538,14 +538,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_bucket = lambda df: df.repartition(F.col("bucket")).sortWithinPartitions("bucket", "block")
     by_block = lambda df: df.repartition(F.col("block")).sortWithinPartitions("block", "kind", "bucket")
 
-    shared = materialize(by_bucket(docs.mapInArrow(_seeds(buckets), PARTS)).mapInArrow(_shared, "seed long"))
+    shared = materialize(by_bucket(docs.mapInArrow(lean(_seeds(buckets)), PARTS)).mapInArrow(lean(_shared), "seed long"))
     held = spark.sparkContext.broadcast(_bloom_of(shared))  # at most MAX_BLOCKS * 64 bytes
-    parts = materialize(docs.mapInArrow(_cut(held, buckets), PARTS), "kind").select(*_PARTS)
+    parts = materialize(docs.mapInArrow(lean(_cut(held, buckets)), PARTS), "kind").select(*_PARTS)
     heads = parts.where(F.col("kind") == HEAD)
-    codes = materialize(by_bucket(parts.where(F.col("kind") == ENTRY)).mapInArrow(_first, PARTS))
-    segments = by_block(heads.unionByName(codes)).mapInArrow(_send(held, buckets), PARTS)
-    masks = by_bucket(segments).mapInArrow(_index, PARTS)
-    return by_block(heads.unionByName(codes).unionByName(masks)).mapInArrow(_cover(held, buckets), SPANS)
+    codes = materialize(by_bucket(parts.where(F.col("kind") == ENTRY)).mapInArrow(lean(_first), PARTS))
+    segments = by_block(heads.unionByName(codes)).mapInArrow(lean(_send(held, buckets)), PARTS)
+    masks = by_bucket(segments).mapInArrow(lean(_index), PARTS)
+    return by_block(heads.unionByName(codes).unionByName(masks)).mapInArrow(lean(_cover(held, buckets)), SPANS)
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:

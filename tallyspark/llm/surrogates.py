@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, texts
+from .common import lean, materialize, texts
 
 MOST_BROADCAST = 200_000
 ROUNDS = 8
@@ -254,10 +254,10 @@ def _draw(key: bytes):
 
 def mapping(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """(kind, value, attempt, new) of every distinct entity: new values are distinct within a kind and are no entity."""
-    found = docs.select(text_col).mapInArrow(_extract(text_col, False), "digest binary, kind string, value string")
+    found = docs.select(text_col).mapInArrow(lean(_extract(text_col, False)), "digest binary, kind string, value string")
     entities = materialize(found.select("kind", "value").distinct())
     schema = "kind string, value string, attempt int, new string"
-    done = materialize(entities.withColumn("attempt", F.lit(0)).mapInArrow(_draw(key), schema))
+    done = materialize(entities.withColumn("attempt", F.lit(0)).mapInArrow(lean(_draw(key)), schema))
     while True:
         first = F.row_number().over(Window.partitionBy("kind", "new").orderBy("attempt", "value"))
         # a group of equal surrogates is as small as the permutation makes it
@@ -265,7 +265,7 @@ def mapping(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
         again = clash.withColumn("_again", (F.col("_n") > 1) | F.col("_real").isNotNull()).select("kind", "value", "attempt", "new", "_again")
         if again.where("_again").limit(1).count() == 0:
             return done
-        redrawn = again.where("_again").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(_draw(key), schema)
+        redrawn = again.where("_again").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(lean(_draw(key)), schema)
         done = materialize(again.where("NOT _again").drop("_again").unionByName(redrawn))
 
 
@@ -302,12 +302,12 @@ def anonymize(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     rows = redrawn.limit(MOST_BROADCAST + 1).collect()
     if len(rows) <= MOST_BROADCAST:
         held = spark.sparkContext.broadcast({(r.kind, r.value): r.attempt for r in rows})
-        return docs.mapInArrow(_apply(key, held, at, names), schema)
+        return docs.mapInArrow(lean(_apply(key, held, at, names)), schema)
     # too many to send to every task: each text gets those of its own
-    own = docs.select(text_col).mapInArrow(_extract(text_col, True), "digest binary, kind string, value string").distinct()
+    own = docs.select(text_col).mapInArrow(lean(_extract(text_col, True)), "digest binary, kind string, value string").distinct()
     own = own.join(redrawn, ["kind", "value"]).groupBy("digest").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_own"))
     packed = docs.select(F.struct(*names).alias("_row"), F.unhex(F.sha2(F.col(text_col), 256)).alias("digest"))
-    return packed.join(own, "digest", "left").select("_row.*", "_own").mapInArrow(_apply(key, None, at, names), schema)
+    return packed.join(own, "digest", "left").select("_row.*", "_own").mapInArrow(lean(_apply(key, None, at, names)), schema)
 
 
 def op2_surrogates(spark, sf_dir: str, key: bytes = b"set by whoever runs it") -> DataFrame:
