@@ -1,16 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: pairs of neighbouring words as seeds, then Smith-Waterman alignment.
 
 Words are runs of letters, digits and bytes beyond ASCII, in lower case (A-Z), so punctuation and line breaks don't
-matter. One pass over all documents counts every n-gram of the benchmark; each item keeps its rarer half as seeds (at
-least LEAST_SEEDS), so an item that has leaked into a third of all documents still has its seeds. A second pass finds
-the seeds in every whole text and aligns the item with the words around them (local alignment, MATCH, MISMATCH, GAP), so
-edited, cut and paraphrased copies score by what they share.
+matter. A seed is two neighbouring words of an item that follow each other in a document, or with one word between. No
+copy is lost to the seeds: an alignment of an item of n words that scores T or more holds (2 T - n) / 3 - 1 such pairs
+or more, at distinct words, within 3 n - T words of the document. (Of m matches, 2 m less the edits is T or more. Where two
+matches in a row are no such pair, either a word of the item is left out, or two of the document or more.) One pass over
+all documents counts every pair; each item leaves out as many of its most frequent ones as still leave TOGETHER that any
+copy must have, so an item that has leaked into a third of all documents still has its seeds. A second pass finds the
+seeds in every whole text and aligns the item with the words around each TOGETHER of them that stand close enough (local
+alignment, MATCH, MISMATCH, GAP), so edited, cut and paraphrased copies score by what they share.
 
 The benchmark goes to the tasks in blocks of at most BLOCK_ITEM_WORDS words, whatever its size; each block is one stated
 query set against all documents. Documents are never shuffled; what leaves a task is a row per document and item that
 align. Counts are aggregated in every task first.
 
-Null texts and items have no words. An item of fewer than NGRAM words has no seed and matches nothing. Equal items or
+Null texts and items have no words. An item of fewer than LEAST_ITEM words matches nothing. Equal items or
 repeated documents give a row each. Empty tables give empty results. Only the named columns are read.
 """
 
@@ -23,8 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import U64, Words, blocks, lean, mix, texts, without
 
-NGRAM = 3
-LEAST_SEEDS = 24
+LEAST_ITEM = 3
+#: so many seeds of a copy are asked for, or all that the shortest items have for certain
+TOGETHER = 4
+#: sure_pairs and most_words follow from these
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: a copy has this share of the item's best score, and of the score of so many words in a row (or of all, in short items)
 LEAST_SHARE, LEAST_WORDS = 0.5, 8
@@ -38,16 +44,13 @@ def words_of(raw: list[bytes]) -> Words:
     return Words(raw, lower=True, separators=_BREAK)
 
 
-def ngrams(words: Words) -> np.ndarray:
-    """The hash of the n-gram that starts at each word; 0 where the text ends before."""
+def pairs(words: Words, apart: int = 1) -> np.ndarray:
+    """The hash of each word with the one `apart` words on; 0 where the text ends before."""
     h = words.hash
     out = np.zeros(len(h), dtype=U64)
-    if len(h) >= NGRAM:
-        acc = h[: len(h) - NGRAM + 1].copy()
-        for k in range(1, NGRAM):
-            acc = acc * U64(0x9E3779B97F4A7C15) + h[k : len(h) - NGRAM + 1 + k]
-        out[: len(acc)] = mix(acc) | U64(1)
-    for k in range(1, NGRAM):
+    if len(h) > apart:
+        out[:-apart] = mix(h[:-apart] * U64(0x9E3779B97F4A7C15) + h[apart:]) | U64(1)
+    for k in range(1, apart + 1):
         out[np.maximum(words.first[1:] - k, words.first[:-1])[words.first[1:] > words.first[:-1]]] = 0
     return out
 
@@ -77,8 +80,9 @@ def _count(held, text_col: str):
         seeds = Seeds(held.value)
         total = np.zeros(len(seeds.grams), dtype=np.int64)
         for block in blocks(batches, text_col, BLOCK_BYTES):
-            _, place = seeds.find(ngrams(words_of([t.encode() for t in texts(block, text_col)])))
-            total += np.bincount(place, minlength=len(total))
+            words = words_of([t.encode() for t in texts(block, text_col)])
+            for apart in (1, 2):
+                total += np.bincount(seeds.find(pairs(words, apart))[1], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
@@ -112,8 +116,22 @@ def align(item: np.ndarray, sides: list[np.ndarray]) -> list[tuple[int, int, int
     return [(int(b // big), int(big - 1 - b % big) if b >= big else 0, int(s)) for b, s in zip(best, stop, strict=True)]
 
 
+def least_score(words):
+    return np.maximum(LEAST_SHARE * MATCH * words, MATCH * np.minimum(LEAST_WORDS, words))
+
+
 def passes(score: int, words: int) -> bool:
-    return score >= max(LEAST_SHARE * MATCH * words, MATCH * min(LEAST_WORDS, words))
+    return bool(score >= least_score(words))
+
+
+def sure_pairs(words):
+    """So many seeds has every alignment that passes, one at least."""
+    return np.maximum(np.ceil((2 * least_score(words) - words) / 3 - 1), 1).astype(np.int64)
+
+
+def most_words(words):
+    """So many words of a document has an alignment that passes at most."""
+    return np.floor(3 * words - least_score(words)).astype(np.int64)
 
 
 _PAIR = {"doc_id": pa.int64(), "item_id": pa.int64(), "score": pa.int64(), "similarity": pa.float64(), "start_word": pa.int64(), "stop_word": pa.int64()}
@@ -121,37 +139,34 @@ _PAIR = {"doc_id": pa.int64(), "item_id": pa.int64(), "score": pa.int64(), "simi
 
 def _search(held, id_col: str, text_col: str):
     def run(batches):
-        grams, owner_first, owner, place, item_ids, item_words, item_first = held.value
+        grams, owner_first, owner, item_ids, item_words, item_first = held.value
         seeds = Seeds(grams)
+        sizes = np.diff(item_first)
+        asked, reach = np.minimum(sure_pairs(sizes), TOGETHER), most_words(sizes)
         for block in blocks(batches, text_col, BLOCK_BYTES):
             words = words_of([t.encode() for t in texts(block, text_col)])
-            at, seed = seeds.find(ngrams(words))
-            if not len(at):
-                continue
+            at, seed = (np.concatenate(x) for x in zip(*(seeds.find(pairs(words, apart)) for apart in (1, 2)), strict=True))
             # a seed may belong to several items, or to several places of one
             n = owner_first[seed + 1] - owner_first[seed]
             own = np.repeat(owner_first[seed], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(at, n)
-            item, offset = owner[own], place[own]
+            hits = np.unique(owner[own] * np.int64(len(words.hash) + 1) + np.repeat(at, n))
+            item, at = hits // (len(words.hash) + 1), hits % (len(words.hash) + 1)
             doc = np.searchsorted(words.first, at, side="right") - 1
-            size = (item_first[item + 1] - item_first[item]).astype(np.int64)
-            reach = size + (size >> 1)
-            start = np.maximum(at - offset - (size >> 2), words.first[doc])
-            stop = np.minimum(at - offset + reach, words.first[doc + 1])
-            order = np.lexsort((start, doc, item))
-            item, doc, start, stop = item[order], doc[order], start[order], stop[order]
-            # windows of one item in one document that overlap are one window
-            same = (item[1:] == item[:-1]) & (doc[1:] == doc[:-1])
-            heads, ends, top = [0], [], int(stop[0])
-            for k in range(1, len(item)):
-                if same[k - 1] and start[k] <= top:
-                    top = max(top, int(stop[k]))
-                else:
-                    ends.append(top)
-                    heads.append(k)
-                    top = int(stop[k])
-            ends.append(top)
-            heads, ends = np.array(heads), np.array(ends)
+            # as many as are asked for, close together
+            last = np.arange(len(hits)) + asked[item] - 1
+            near = np.flatnonzero(last < len(hits))
+            last = last[near]
+            near_enough = (item[last] == item[near]) & (doc[last] == doc[near]) & (at[last] - at[near] < reach[item[near]])
+            near, last = near[near_enough], last[near_enough]
+            if not len(near):
+                continue
+            item, doc = item[near], doc[near]
+            start = np.maximum(at[last] + 2 - reach[item], words.first[doc])
+            stop = np.minimum(at[near] + reach[item], words.first[doc + 1])
+            # windows of one item in one document that overlap are one window; both ends ascend
+            new = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] > stop[:-1])
+            heads = np.flatnonzero(np.concatenate([[True], new]))
+            ends = stop[np.flatnonzero(np.concatenate([new, [True]]))]
             ids = block.column(block.schema.get_field_index(id_col)).to_pylist()
             best: dict[tuple, tuple] = {}
             k = 0
@@ -204,27 +219,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     out = spark.createDataFrame([], schema)
     for ids, raw in _item_blocks(benchmark, item_col, item_text):
         words = words_of(raw)
-        grams = ngrams(words)
-        item = np.repeat(np.arange(len(ids)), np.diff(words.first))
-        place = np.arange(len(grams)) - words.first[item]
-        used = np.flatnonzero(grams)
+        grams, sizes = pairs(words), np.diff(words.first)
+        item = np.repeat(np.arange(len(ids)), sizes)
+        used = np.flatnonzero((grams != 0) & (sizes[item] >= LEAST_ITEM))
         known, number = np.unique(grams[used], return_inverse=True)
         count = np.zeros(len(known), dtype=np.int64)
         counted = docs.mapInArrow(lean(_count(spark.sparkContext.broadcast(known), "text")), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        for r in counted.collect():  # as many rows as the block has n-grams
+        for r in counted.collect():  # as many rows as the block has pairs
             count[r["gram"]] = r["n"]
-        order = np.lexsort((place[used], count[number], item[used]))
+        # the most frequent pairs first, so the rank says how many of the item's come before
+        order = np.lexsort((-count[number], item[used]))
         rank = np.empty(len(used), np.int64)
         owner = item[used][order]
-        firsts = np.searchsorted(owner, np.arange(len(ids)))
-        rank[order] = np.arange(len(used)) - firsts[owner]
-        sizes = np.bincount(item[used], minlength=len(ids))
-        kept = rank < np.maximum(LEAST_SEEDS, (sizes[item[used]] + 1) // 2)
-        # of a seed: the items that have it, and where
+        rank[order] = np.arange(len(used)) - np.searchsorted(owner, np.arange(len(ids)))[owner]
+        sure = sure_pairs(sizes)[item[used]]
+        kept = (rank >= sure - np.minimum(sure, TOGETHER)) & (count[number] > 0)
+        # of a seed: the items that have it, once for each place
         by_seed = np.flatnonzero(kept)[np.argsort(number[kept], kind="stable")]
         seeds, counts = np.unique(number[by_seed], return_counts=True)
         first = np.concatenate([[0], np.cumsum(counts)])
-        held = spark.sparkContext.broadcast((known[seeds], first, item[used][by_seed], place[used][by_seed], ids, words.hash, words.first))
+        held = spark.sparkContext.broadcast((known[seeds], first, item[used][by_seed], ids, words.hash, words.first))
         out = out.unionByName(docs.mapInArrow(lean(_search(held, "doc_id", "text")), schema))
     return out
 

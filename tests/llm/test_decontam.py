@@ -82,3 +82,33 @@ def test_query_finds_the_planted_passages(spark, sf_dir):
             if any(tuple(item[k : k + 3]) in have for k in range(len(item) - 2)) and decontam.passes(smith_waterman(item, w), len(item)):
                 want.add((d, i))
     assert got == want and got
+
+
+def test_single_edited_and_half_copies_against_brute_force(spark):
+    # items whose words no other document has, one copy of each: most of their word pairs occur nowhere
+    rng = random.Random(11)
+    items, rows, n = [], [], 0
+    for k in range(240):
+        item = [f"w{n + j}" for j in range(rng.choice([9, 15, 16, 27, 38, 50, 59]))]
+        n += len(item)
+        copy = list(item)
+        if k % 4 < 2:  # edits of any kind
+            copy, share = [], rng.uniform(0.15, 0.4)
+            for j, w in enumerate(item):
+                e = rng.random() / share
+                copy += [w] if e > 1 else [f"e{k}x{j}"] if e > 0.4 else [f"e{k}x{j}", w] if e > 0.2 else []
+        elif k % 4 == 2:  # half an item, a little edited
+            copy = [w if rng.random() > 0.03 else f"e{k}x{j}" for j, w in enumerate(item[: len(item) // 2 + rng.randint(0, 4)])]
+        elif k % 8 == 3:  # no three words in a row
+            copy = [w if j % 3 else f"e{k}x{j}" for j, w in enumerate(item)]
+        else:  # no two words in a row
+            copy = [x for j, w in enumerate(item) for x in (w, f"e{k}x{j}")][:-1]
+        pad = lambda: [f"p{rng.randint(0, 9)}" for _ in range(rng.randint(0, 90))]
+        items.append(item)
+        rows.append((k, " ".join(pad() + copy + pad())))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    scores = [smith_waterman(item, t.split()) for item, (_, t) in zip(items, rows, strict=True)]
+    want = {(k, k): s for k, s in enumerate(scores) if decontam.passes(s, len(items[k]))}
+    assert len(want) > 120
+    assert {(r.doc_id, r.item_id): r.score for r in decontam.leaks(docs, bench).collect()} == want
