@@ -12,11 +12,12 @@ Plan. Equal texts are one content from the start (a partial aggregation on a 128
 sketches, and copies are never expanded. Contents that share a sketch are a bucket; sketches of one content only are
 dropped early (packed counts by hash bucket, then a Bloom filter of fixed size). Members are compared with the bucket's
 leader, who is another one for every third of the sketches, so a group of n copies costs about n comparisons, not n * n,
-and isn't gathered in one task: counting is a partial aggregation and the join to leaders splits hot keys. A passage that
-many texts have makes large buckets of texts that are otherwise different. Of these, those that are no link to their
-leader are split by their next sketch, on which near-duplicates agree as on the first, REFINED times at most. All others
+and isn't gathered in one task: counting is a partial aggregation and the join to leaders splits hot keys. All others
 that are no link to their leader meet in groups, where an index of rare words finds all pairs that can be within the
-limit (prefix filter, exact). Classes are the connected components of the links, found by label propagation with pointer
+limit (prefix filter, exact). A passage that many texts have makes large buckets of texts that are otherwise different:
+buckets of more than MOST_TOGETHER are first split by the words of that filter, so that a group has the texts that share
+one (words of one text only go no further, and groups of the same texts are one). The filter takes the words that are
+rare among these texts, by counts in a table of fixed size, so the words of the passage come last. Classes are the connected components of the links, found by label propagation with pointer
 jumping. Only contents in shared buckets have their texts fetched, behind a Bloom filter again.
 
 Null text counts as empty; empty or equal texts are one class. A text shorter than SHINGLE words has one k-mer, itself.
@@ -26,7 +27,7 @@ columns aren't read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +41,24 @@ SHINGLE = 5
 SKETCHES, PICK = 32, 2
 SIMILARITY = 0.8
 LEADERS = 3
-MOST_TOGETHER, REFINED = 256, 1
+MOST_TOGETHER = 256
+#: counts of words, by so many bits of their hash
+FREQUENCY_BITS = 14
 BLOCK_BYTES = 1 << 20
 BUCKETS = 64
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def numbered(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The hashes of each text, each with how often it has come before."""
+    order = np.lexsort((hashes, text))  # stable: equal hashes of a text stand in text order
+    same = np.concatenate([[False], (hashes[order][1:] == hashes[order][:-1]) & (text[order][1:] == text[order][:-1])])
+    run = np.arange(len(hashes)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(hashes)))) if len(hashes) else np.zeros(0, np.int64)
+    label = np.empty(len(hashes), dtype=U64)
+    label[order] = run
+    return mix(hashes + label * U64(0xD6E8FEB86659FD93))
+
+
 def kmers(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(labelled k-mers of all texts, first of each text and the total); a text without words has none."""
     n = np.diff(words.first)
@@ -59,12 +72,7 @@ def kmers(words: Words) -> tuple[np.ndarray, np.ndarray]:
         inside = at < words.first[text + 1]
         out = out * U64(0x9E3779B97F4A7C15) + np.where(inside, words.hash[np.minimum(at, len(words.hash) - 1)], U64(k + 1)) if len(words.hash) else out
     out = mix(out)
-    order = np.lexsort((out, text))  # stable: equal k-mers of a text stand in text order
-    same = np.concatenate([[False], (out[order][1:] == out[order][:-1]) & (text[order][1:] == text[order][:-1])])
-    run = np.arange(len(out)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(out)))) if len(out) else np.zeros(0, np.int64)
-    label = np.empty(len(out), dtype=U64)
-    label[order] = run
-    return mix(out + label * U64(0xD6E8FEB86659FD93)), first
+    return numbered(out, text), first
 
 
 def sketches(raw: list[bytes]) -> np.ndarray:
@@ -182,25 +190,15 @@ def _explode(held):
             if own:
                 keys = np.frombuffer(b"".join(y for _, y in own), "<u8")
                 at = np.flatnonzero(bloom.passes(keys))
+                at = at[np.lexsort((at, keys[at], at // SKETCHES))]
+                # each key of a content once
+                at = at[np.concatenate([[True], (keys[at[1:]] != keys[at[:-1]]) | (at[1:] // SKETCHES != at[:-1] // SKETCHES)])[: len(at)]]
                 who, t = at // SKETCHES, (at % SKETCHES).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([own[i][0] for i in who], pa.binary()), pa.array(keys[at].astype(np.int64)), pa.array(t)], names=["c", "key", "t"])
 
     return run
 
 
-def _refine(level: int):
-    """The key of a bucket with the member's sketch that comes `level` places on."""
-
-    def run(batches):
-        for batch in batches:
-            key, t = batch.column(1).to_numpy().view(U64), batch.column(2).to_numpy()
-            more = np.array([np.frombuffer(s, "<u8")[(x + level) % SKETCHES] for s, x in zip(batch.column(3).to_pylist(), t.tolist(), strict=True)], dtype=U64)
-            if len(more):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mix(key * U64(0x9E3779B97F4A7C15) + more).view(np.int64)), batch.column(2)], names=["c", "key", "t"])
-
-    return run
-
-
 def _compare(batches):
     for batch in batches:
         ok, last, words = [], None, None
@@ -215,68 +213,153 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], names=["a", "b", "ok"])
 
 
-def labelled(words: list[bytes]) -> list[tuple[bytes, int]]:
-    """Each word with how often it has come before, so that common words count with their number."""
-    seen: dict[bytes, int] = {}
-    out = []
-    for w in words:
-        seen[w] = k = seen.get(w, -1) + 1
-        out.append((w, k))
-    return out
+def _coded(batches, column: str):
+    """(batch, texts' words as numbered hashes, first of each text and the total) for some rows at a time."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, 256):
+            batch = whole.slice(start, 256)
+            words = Words([zstandard.decompress(b) for b in batch.column(batch.schema.get_field_index(column)).to_pylist()], lower=True)
+            yield batch, numbered(words.hash, np.repeat(np.arange(batch.num_rows), np.diff(words.first))), words.first
+
 
+def _frequency(batches):
+    total = np.zeros(1 << FREQUENCY_BITS, dtype=np.int64)
+    for _, codes, _ in _coded(batches, "body"):
+        total += np.bincount((codes >> U64(64 - FREQUENCY_BITS)).astype(np.int64), minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
 
-def prefix(words: list[tuple[bytes, int]]) -> list[tuple[bytes, int]]:
-    """The first words, in one order for all texts (long ones first), of which texts within the limit share one at least.
+
+def prefix(codes: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+    """The first words, in one order for all texts (rare ones first), of which texts within the limit share one at least.
 
     Texts of n and m words within the limit have SIMILARITY * max(n, m) words in common, so of its own n each may leave
     out all but the first n - SIMILARITY * n + 1."""
-    return sorted(words, key=lambda x: (-len(x[0]), x))[: int((1 - SIMILARITY) * len(words) + 1e-9) + 1]
+    order = np.lexsort((codes, frequency[(codes >> U64(64 - FREQUENCY_BITS)).astype(np.int64)]))
+    return codes[order[: int((1 - SIMILARITY) * len(codes) + 1e-9) + 1]]
+
+
+def _prefixes(held):
+    def run(batches):
+        for batch, codes, first in _coded(batches, "body"):
+            heads = [prefix(codes[first[i] : first[i + 1]], held.value).tobytes() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.binary())], names=["c", "words"])
+
+    return run
+
+
+def _split(batch) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key of the bucket and the word) of each prefix word of rows (key, c, label, words)."""
+    words = [np.frombuffer(w, U64) for w in batch.column(3).to_pylist()]
+    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    return row, mix(batch.column(0).to_numpy().view(U64)[row] * U64(0x9E3779B97F4A7C15) + np.concatenate(words))
+
+
+def _split_keys(batches):
+    for whole in batches:
+        for start in range(0, whole.num_rows, 2048):
+            yield from packed_keys(_split(whole.slice(start, 2048))[1], BUCKETS)
+
+
+def _split_rows(held):
+    """A row for each prefix word that another text of the bucket may have too."""
+
+    def run(batches):
+        bloom = Bloom(held.value)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                row, key = _split(batch)
+                at = np.flatnonzero(bloom.passes(key))
+                row = pa.array(row[at])
+                yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), batch.column(1).take(row), batch.column(2).take(row)], names=["key", "c", "label"])
+
+    return run
 
 
 class Group:
-    """Links among texts that come one by one, found by the words of their prefixes; pairs that are connected already
-    are not compared."""
+    """Links among texts that come one by one, found by the words of their prefixes. A text comes with the label of what
+    it is known to be connected with; pairs that are connected already are not compared."""
 
     def __init__(self):
-        self.texts, self.parent, self.index = [], [], {}
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = i = self.parent[self.parent[i]]
-        return i
-
-    def add(self, c: bytes, body: bytes) -> list[tuple[bytes, bytes]]:
-        words, me, found = split(body), len(self.texts), []
-        own = labelled(words)
-        keys = prefix(own)
-        bag = np.sort(np.fromiter(map(hash, own), np.int64, len(own)))
-        near = {i for w in keys for i in self.index.get(w, ())}
-        self.texts.append((c, body, bag))
-        self.parent.append(me)
-        for i in sorted(near):
-            other, packed, theirs = self.texts[i]
-            least = SIMILARITY * max(len(theirs), len(bag)) - 1e-9
-            if other == c or min(len(theirs), len(bag)) < least or self.root(i) == self.root(me):
-                continue
-            # words in common: an edit takes away one at most
-            if len(np.intersect1d(theirs, bag, assume_unique=True)) >= least and similar(split(packed), words):
-                self.parent[self.root(me)] = self.root(i)
-                found.append((other, c))
-        for w in keys:
-            self.index.setdefault(w, []).append(me)
+        self.texts, self.parent, self.index = [], {}, {}
+
+    def root(self, x: bytes) -> bytes:
+        while self.parent[x] != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
+        return x
+
+    def add(self, label: bytes, body: bytes, codes: np.ndarray, keys: list[int]) -> list[tuple[bytes, bytes]]:
+        words, found, bag = None, [], np.sort(codes)
+        self.parent.setdefault(label, label)
+        near: dict[bytes, set[int]] = defaultdict(set)
+        for k in keys:
+            for other, members in self.index.get(k, {}).items():
+                if self.root(other) != self.root(label):
+                    near[other].update(members)
+        for other, members in near.items():
+            for i in sorted(members):
+                if self.root(other) == self.root(label):
+                    break
+                packed, theirs = self.texts[i]
+                least = SIMILARITY * max(len(theirs), len(bag)) - 1e-9
+                # words in common: an edit takes away one at most
+                if min(len(theirs), len(bag)) < least or len(np.intersect1d(theirs, bag, assume_unique=True)) < least:
+                    continue
+                words = words or split(body)
+                if similar(split(packed), words):
+                    self.parent[self.root(label)] = self.root(other)
+                    found.append((other, label))
+        for k in keys:
+            self.index.setdefault(k, {}).setdefault(label, []).append(len(self.texts))
+        self.texts.append((body, bag))
         return found
 
 
-def _join_groups(batches):
-    at, group = None, None
-    for batch in batches:
-        out = []
-        for key, c, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if key != at:
-                at, group = key, Group()
-            out += group.add(c, body)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], names=["a", "b"])
+def _join_groups(held):
+    """Links between labels, from rows (key, label, body) that come by key."""
+
+    def run(batches):
+        at, group = None, None
+        for batch, codes, first in _coded(batches, "body"):
+            out = []
+            for i, (key, label, body) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                if key != at:
+                    at, group = key, Group()
+                own = codes[first[i] : first[i + 1]]
+                out += group.add(label, body, own, prefix(own, held.value).tolist())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], names=["a", "b"])
+
+    return run
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """(key, n) of the groups of rows (key, c, label) that have two labels; of groups of the same texts, one."""
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "c")).alias(f"m{k}") for k in range(2)]
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"), *marks, F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
+    return groups.groupBy("n", "m0", "m1").agg(F.min("key").alias("key")).select("key", "n")
+
+
+def _among(rows: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Links (a, b) between the labels of rows (key, c, label): all that texts of one key and of two labels make."""
+    spark = rows.sparkSession
+    rows = materialize(rows.join(_several(rows), "key"))
+    used = materialize(bodies.join(rows.select("c").distinct(), "c", "left_semi"))
+    frequency = np.zeros(1 << FREQUENCY_BITS, dtype=np.int64)
+    for r in used.select("body").mapInArrow(lean(_frequency), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        frequency[r["slot"]] = r["n"]
+    held = spark.sparkContext.broadcast(frequency)
+    near = rows.where(F.col("n") <= MOST_TOGETHER).select("key", "c", "label")
+    large = rows.where(F.col("n") > MOST_TOGETHER).select("key", "c", "label")
+    if large.limit(1).count():
+        words = used.join(large.select("c").distinct(), "c", "left_semi").mapInArrow(lean(_prefixes(held)), "c binary, words binary")
+        large = materialize(large.join(words, "c").select("key", "c", "label", "words"))
+        shared = spark.sparkContext.broadcast(bloom_words(shared_keys(large.mapInArrow(lean(_split_keys), KEYS))))
+        parts = materialize(large.mapInArrow(lean(_split_rows(shared)), "key long, c binary, label binary"))
+        near = near.unionByName(parts.join(_several(parts).select("key"), "key"))
+    near = near.join(used, "c").select("key", "label", "body", "c")
+    return near.repartition(F.col("key")).sortWithinPartitions("key", "label", "c").drop("c").mapInArrow(lean(_join_groups(held)), "a binary, b binary")
 
 
 def _zip(batches):
@@ -291,40 +374,23 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # sketches that only one content has go no further than their block
     shared = bloom_words(shared_keys(contents.select("sketch").mapInArrow(lean(_keys), KEYS)))
     members = contents.select("c", "sketch").mapInArrow(lean(_explode(docs.sparkSession.sparkContext.broadcast(shared))), "c binary, key long, t int")
-    bodies, done, left = None, None, None
-    for level in range(REFINED + 1):
-        order = F.struct(F.xxhash64("c", F.col("t") % LEADERS).alias("h"), "c")
-        leaders = members.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("leader")).where("n > 1").select("key", (F.col("n") > MOST_TOGETHER).alias("large"), F.col("leader.c").alias("leader"))
-        pairs = members.join(leaders, "key").where("c != leader").select("key", "t", "large", "c", F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b"))
-        pairs = materialize(pairs)
-        wanted = pairs.select("a", "b").distinct()
-        wanted = materialize(wanted if done is None else wanted.join(done, ["a", "b"], "left_anti"))
-        if bodies is None:  # later levels compare among the same contents
-            used = wanted.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-            used = materialize(contents.join(used, "c", "left_semi").select("c", "rep_id"))
-            words, n = bloom_filter(used, F.xxhash64("c"))
-            near = bloom_passes(docs.select("doc_id", "c", "text"), words, n, F.xxhash64("c"))
-            # an inner join, as a semi join would be moved in front of the filter; contents are unique
-            body = near.join(used.withColumnRenamed("c", "_c"), (F.col("c") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
-            bodies = materialize(body.select("c", "text").mapInArrow(lean(_zip), "c binary, body binary").dropDuplicates(["c"]))
-        two = wanted.join(bodies.select(F.col("c").alias("a"), F.col("body").alias("body_a")), "a")
-        two = two.join(bodies.select(F.col("c").alias("b"), F.col("body").alias("body_b")), "b")
-        checked = materialize(two.select("a", "b", "body_a", "body_b").mapInArrow(lean(_compare), "a binary, b binary, ok boolean"))
-        done = checked if done is None else done.unionByName(checked)
-        # who is no link to its leader
-        failed = materialize(pairs.join(done.where("NOT ok").select("a", "b"), ["a", "b"], "left_semi").select("key", "t", "large", "c"))
-        last = level == REFINED
-        own = failed.select("key", "c") if last else failed.where("NOT large").select("key", "c")
-        left = own if left is None else left.unionByName(own)
-        if last or failed.where("large").limit(1).count() == 0:
-            break
-        large = failed.where("large").select("c", "key", "t").join(contents.select("c", "sketch"), "c")
-        members = materialize(large.select("c", "key", "t", "sketch").mapInArrow(lean(_refine(level + 1)), "c binary, key long, t int"))
-    # they meet the others of their bucket that aren't
-    several = left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    left = left.join(several, "key").join(bodies, "c").select("key", "c", "body")
-    more = left.repartition(F.col("key")).sortWithinPartitions("key", "c").mapInArrow(lean(_join_groups), "a binary, b binary")
-    return contents, done.where("ok").select("a", "b").unionByName(more)
+    order = F.struct(F.xxhash64("c", F.col("t") % LEADERS).alias("h"), "c")
+    leaders = members.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("leader")).where("n > 1").select("key", F.col("leader.c").alias("leader"))
+    pairs = materialize(members.join(leaders, "key").where("c != leader").select("key", "c", F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b")))
+    wanted = materialize(pairs.select("a", "b").distinct())
+    used = wanted.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    used = materialize(contents.join(used, "c", "left_semi").select("c", "rep_id"))
+    words, n = bloom_filter(used, F.xxhash64("c"))
+    near = bloom_passes(docs.select("doc_id", "c", "text"), words, n, F.xxhash64("c"))
+    # an inner join, as a semi join would be moved in front of the filter; contents are unique
+    body = near.join(used.withColumnRenamed("c", "_c"), (F.col("c") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
+    bodies = materialize(body.select("c", "text").mapInArrow(lean(_zip), "c binary, body binary").dropDuplicates(["c"]))
+    two = wanted.join(bodies.select(F.col("c").alias("a"), F.col("body").alias("body_a")), "a")
+    two = two.join(bodies.select(F.col("c").alias("b"), F.col("body").alias("body_b")), "b")
+    checked = materialize(two.select("a", "b", "body_a", "body_b").mapInArrow(lean(_compare), "a binary, b binary, ok boolean"))
+    # who is no link to its leader meets the others of its bucket that aren't
+    failed = pairs.join(checked.where("NOT ok").select("a", "b"), ["a", "b"], "left_semi").select("key", "c", F.col("c").alias("label"))
+    return contents, checked.where("ok").select("a", "b").unionByName(_among(materialize(failed), bodies))
 
 
 def components(edges: DataFrame) -> DataFrame:

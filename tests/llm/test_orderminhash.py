@@ -89,3 +89,37 @@ def test_one_bucket_of_different_texts_keeps_all_links(spark, monkeypatch, most)
 
 def test_empty_table(spark):
     assert o.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def classes_by_buckets(texts):
+    """The least text of each one's class, by all pairs that share a sketch and are alike."""
+    sk = o.sketches([" ".join(t).encode() for t in texts])
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in ((sk[:i] == sk[i]).any(axis=1)).nonzero()[0].tolist():
+            if root(i) != root(j) and o.similar(texts[i], texts[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(texts))]
+
+
+def test_shared_passage_over_more_texts_than_meet_at_once(spark, monkeypatch):
+    # many texts share a passage; of an edited copy and its original, some share sketches of the passage only
+    monkeypatch.setattr(o, "MOST_TOGETHER", 20)
+    rng = random.Random(9)
+    passage, texts = [f"p{i}" for i in range(20)], []
+    for g in range(120):
+        own = [f"w{g}x{i}" for i in range(60)]
+        texts += [[*own[:30], *passage, *own[30:]]]
+        at = sorted(range(60), key=lambda i: (i % 4 != g % 4, rng.random()))[:14]
+        own = [f"e{g}x{i}" if i in at else w for i, w in enumerate(own)]
+        texts += [[*own[:30], *passage, *own[30:]]]
+    want = classes_by_buckets(texts)
+    assert len(set(want)) < 200
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.class_id for r in o.near_duplicates(docs).collect()} == dict(enumerate(want))
