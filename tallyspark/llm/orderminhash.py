@@ -12,9 +12,10 @@ Plan. Equal texts are one content from the start (a partial aggregation on a 128
 sketches, and copies are never expanded. Contents that share a sketch are a bucket; sketches of one content only are
 dropped early (packed counts by hash bucket, then a Bloom filter of fixed size). Members are compared with the bucket's
 leader, who is another one for every third of the sketches, so a group of n copies costs about n comparisons, not n * n,
-and isn't gathered in one task: counting is a partial aggregation and the join to leaders splits hot keys. All others
-that are no link to their leader meet in groups, where an index of rare words finds all pairs that can be within the
-limit (prefix filter, exact). A passage that many texts have makes large buckets of texts that are otherwise different:
+and isn't gathered in one task: counting is a partial aggregation and the join to leaders splits hot keys. The
+links to leaders make first classes. Where the members of a bucket, but for its leader, are of more than one class, they
+meet in a group: an index of rare words finds all pairs of two classes that can be within the limit (prefix filter,
+exact), so the classes are those of all pairs that share a sketch. A passage that many texts have makes large buckets of texts that are otherwise different:
 buckets of more than MOST_TOGETHER are first split by the words of that filter, so that a group has the texts that share
 one (words of one text only go no further, and groups of the same texts are one). The filter takes the words that are
 rare among these texts, by counts in a table of fixed size, so the words of the passage come last. Classes are the connected components of the links, found by label propagation with pointer
@@ -367,8 +368,8 @@ def _zip(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zstandard.compress((t or "").encode(), 3) for t in batch.column(1).to_pylist()], pa.binary())], names=["c", "body"])
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(contents, links) of docs (doc_id, c, text): (c, rep_id, n) and (a, b), the pairs of contents found alike."""
+def classes(docs: DataFrame) -> DataFrame:
+    """(c, rep_id, n, class) of the contents of docs (doc_id, c, text)."""
     rows = materialize(docs.select("doc_id", "c", "text").mapInArrow(lean(_sketch), "doc_id long, c binary, sketch binary"))
     contents = materialize(rows.groupBy("c").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n"), F.first("sketch").alias("sketch")))
     # sketches that only one content has go no further than their block
@@ -388,9 +389,13 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     two = wanted.join(bodies.select(F.col("c").alias("a"), F.col("body").alias("body_a")), "a")
     two = two.join(bodies.select(F.col("c").alias("b"), F.col("body").alias("body_b")), "b")
     checked = materialize(two.select("a", "b", "body_a", "body_b").mapInArrow(lean(_compare), "a binary, b binary, ok boolean"))
-    # who is no link to its leader meets the others of its bucket that aren't
-    failed = pairs.join(checked.where("NOT ok").select("a", "b"), ["a", "b"], "left_semi").select("key", "c", F.col("c").alias("label"))
-    return contents, checked.where("ok").select("a", "b").unionByName(_among(materialize(failed), bodies))
+    labels = components(checked.where("ok").select("a", "b"))
+    # the members of a bucket that are not of one class already meet; all have met the leader
+    rows = pairs.select("key", "c").join(labels, "c", "left").select("key", "c", F.coalesce("label", "c").alias("label"))
+    again = components(_among(materialize(rows), bodies))
+    again = again.select(F.col("c").alias("first"), F.col("label").alias("class"))
+    named = contents.select("c", "rep_id", "n").join(labels, "c", "left").withColumn("first", F.coalesce("label", "c"))
+    return named.join(again, "first", "left").select("c", "rep_id", "n", F.coalesce("class", "first").alias("class"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -412,9 +417,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, c (its content), class (the class's content), class_id (its least id), class_size."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("c", content(F.col("text")))
-    contents, pairs = links(docs)
-    labels = components(pairs)
-    named = contents.select("c", "rep_id", "n").join(labels, "c", "left").withColumn("class", F.coalesce("label", "c"))
+    named = classes(docs)
     sizes = named.groupBy("class").agg(F.min("rep_id").alias("class_id"), F.sum("n").alias("class_size"))
     known = named.select("c", "class").join(sizes, "class")
     return docs.select("doc_id", "c").join(known, "c").select("doc_id", "c", "class", "class_id", "class_size")

@@ -123,3 +123,15 @@ def test_shared_passage_over_more_texts_than_meet_at_once(spark, monkeypatch):
     assert len(set(want)) < 200
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     assert {r.doc_id: r.class_id for r in o.near_duplicates(docs).collect()} == dict(enumerate(want))
+
+
+def test_near_copies_that_differ_by_about_the_limit(spark):
+    # many are no link to a leader, but to texts that are
+    rng = random.Random(10)
+    texts = []
+    for g in range(2):
+        words = [f"w{g}x{i}" for i in range(100)]
+        texts += [[w if rng.random() > 0.12 else f"e{rng.randint(0, 99999)}" for w in words] for _ in range(220)]
+    want = classes_by_buckets(texts)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.class_id for r in o.near_duplicates(docs).collect()} == dict(enumerate(want))
