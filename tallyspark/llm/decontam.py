@@ -20,12 +20,15 @@ repeated documents give a row each. Empty tables give empty results. Only the na
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Words, blocks, lean, mix, texts, without
+from .orderminhash import content
 
 LEAST_ITEM = 3
 #: so many seeds of a copy are asked for, or all that the shortest items have for certain
@@ -134,7 +137,7 @@ def most_words(words):
     return np.floor(3 * words - least_score(words)).astype(np.int64)
 
 
-_PAIR = {"doc_id": pa.int64(), "item_id": pa.int64(), "score": pa.int64(), "similarity": pa.float64(), "start_word": pa.int64(), "stop_word": pa.int64()}
+_PAIR = {"doc_id": pa.int64(), "item_id": pa.int64(), "score": pa.int64(), "similarity": pa.float64(), "start_word": pa.int64(), "stop_word": pa.int64(), "c": pa.binary()}
 
 
 def _search(held, id_col: str, text_col: str):
@@ -144,7 +147,8 @@ def _search(held, id_col: str, text_col: str):
         sizes = np.diff(item_first)
         asked, reach = np.minimum(sure_pairs(sizes), TOGETHER), most_words(sizes)
         for block in blocks(batches, text_col, BLOCK_BYTES):
-            words = words_of([t.encode() for t in texts(block, text_col)])
+            raw = [t.encode() for t in texts(block, text_col)]
+            words = words_of(raw)
             at, seed = (np.concatenate(x) for x in zip(*(seeds.find(pairs(words, apart)) for apart in (1, 2)), strict=True))
             # a seed may belong to several items, or to several places of one
             n = owner_first[seed + 1] - owner_first[seed]
@@ -188,7 +192,7 @@ def _search(held, id_col: str, text_col: str):
                             base = int(start[heads[g]] - words.first[d])
                             best[d, i] = max(best.get((d, i), (0,)), (score, -(base + a), base + b))
             if best:
-                rows = [(ids[d], item_ids[i], s, s / (MATCH * int(item_first[i + 1] - item_first[i])), -a, b) for (d, i), (s, a, b) in sorted(best.items())]
+                rows = [(ids[d], item_ids[i], s, s / (MATCH * int(item_first[i + 1] - item_first[i])), -a, b, hashlib.md5(raw[d]).digest()) for (d, i), (s, a, b) in sorted(best.items())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PAIR.values(), strict=True)], names=list(_PAIR))
 
     return run
@@ -213,9 +217,14 @@ def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str):
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, similarity, start_word, stop_word): the best alignment of every document and item that
     pass LEAST_SHARE and LEAST_WORDS; words count from 0, as words_of cuts them."""
+    return _leaks(docs, benchmark, id_col, text_col, item_col, item_text).drop("c")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """leaks and c, the content of the document."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, item_id long, score long, similarity double, start_word long, stop_word long"
+    schema = "doc_id long, item_id long, score long, similarity double, start_word long, stop_word long, c binary"
     out = spark.createDataFrame([], schema)
     for ids, raw in _item_blocks(benchmark, item_col, item_text):
         words = words_of(raw)
@@ -244,9 +253,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that hold a copy of a benchmark item, by id."""
-    found = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_leaked")).distinct()
-    return without(docs, found, F.col(id_col).cast("long") == F.col("_leaked"))
+    """docs without the documents that hold a copy of a benchmark item, by id and content."""
+    found = _leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_leaked"), F.col("c").alias("_c")).distinct()
+    return without(docs, found, (content(F.col(text_col)) == F.col("_c")) & F.col(id_col).cast("long").eqNullSafe(F.col("_leaked")))
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

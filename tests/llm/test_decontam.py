@@ -112,3 +112,12 @@ def test_single_edited_and_half_copies_against_brute_force(spark):
     want = {(k, k): s for k, s in enumerate(scores) if decontam.passes(s, len(items[k]))}
     assert len(want) > 120
     assert {(r.doc_id, r.item_id): r.score for r in decontam.leaks(docs, bench).collect()} == want
+
+
+def test_clean_tells_rows_apart_by_null_safe_id_and_text(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    rows = [(None, f"x {item} y"), (None, "clean"), (1, item), (1, "clean too"), (2, "clean"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    got = [tuple(r) for r in decontam.clean(docs, bench).collect()]
+    assert sorted(got, key=str) == sorted([rows[1], *rows[3:]], key=str)
