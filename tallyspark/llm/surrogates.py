@@ -73,7 +73,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             else:
                 out.append((*m.span(1), kind, _value(kind, m[1])))
         if names:  # the same names without a title
-            for m in re.finditer("|".join(rf"(?<!\w){re.escape(n)}(?!\w)" for n in sorted(names, key=len, reverse=True) if len(n) > 3) or r"(?!)", text):
+            for m in re.finditer("|".join(rf"(?<!\w){re.escape(n)}(?!\w)" for n in sorted(names, key=len, reverse=True)), text):
                 out.append((*m.span(), names[m[0]], m[0]))
     held: list[tuple[int, int, str, str]] = []
     taken: list[tuple[int, int]] = []

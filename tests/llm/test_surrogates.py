@@ -72,3 +72,8 @@ def test_query_hides_everything_and_empty_table(spark, sf_dir):
         assert r.n_entities == len(found) and not any(f in r.text for f in found)
         assert found or r.text == old[r.doc_id]
     assert s.anonymize(spark.createDataFrame([], "doc_id long, text string"), KEY).collect() == []
+
+
+def test_short_names_without_a_title():
+    spans = [(text, what) for a, b, what, text in s.find("Ms Kim met Mr Max Lee. Kim thanked Lee, and Max left; Kimono and kim stay.")]
+    assert spans == [("Kim", "surname"), ("Max", "given_m"), ("Lee", "surname"), ("Kim", "surname"), ("Lee", "surname"), ("Max", "given_m")]
