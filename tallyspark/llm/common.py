@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import resource
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,6 +31,21 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever characters their names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def free_names(df: DataFrame, names: list[str]) -> list[str]:
+    """names for new columns; one that df has already gets underscores until it is free."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def input_bytes(df: DataFrame, text_col: str) -> int:
     """About how large a table is, used only to choose a number of buckets: Catalyst's estimate or, where it has none
     (a plan of unknown size counts as exabytes), the bytes of the texts."""
@@ -44,8 +60,16 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+#: a worker that holds less than so many bytes is left as it is; many small tasks would spend their time on it
+TRIM_ABOVE = 256 << 20
+
+
 def trim() -> None:
     """Give back what earlier tasks of this worker have left; workers live as long as their executor."""
+    with contextlib.suppress(OSError, ValueError, IndexError):  # other systems have no /proc
+        with open("/proc/self/statm") as f:
+            if int(f.read().split()[1]) * resource.getpagesize() < TRIM_ABOVE:
+                return
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
@@ -195,11 +219,29 @@ class Words:
         before = np.concatenate([[True], white[:-1]])
         self.start = np.flatnonzero(~white & before)
         self.stop = np.flatnonzero(white & ~before)
-        self.hash = Rolling(self.data, seed).hash(self.start, self.stop)
+        self.hash = self._hashes(seed)
         #: words of text i are [first[i], first[i + 1])
         self.first = np.concatenate([np.searchsorted(self.start, self.text_start), [len(self.start)]]).astype(np.int64)
 
 
+    #: bytes hashed at a time; memory beyond the data itself follows this, not the block
+    PIECE = 1 << 18
+
+    def _hashes(self, seed: int) -> np.ndarray:
+        """Rolling(data, seed).hash(start, stop), a piece of the data at a time, without prefix sums of all of it."""
+        out, table = np.empty(len(self.start), dtype=U64), _table(seed)
+        i = 0
+        while i < len(out):
+            j = max(i + 1, int(np.searchsorted(self.start, self.start[i] + self.PIECE)))
+            size = self.stop[i:j] - self.start[i:j]
+            head = np.cumsum(size) - size
+            offset = np.arange(int(size.sum())) - np.repeat(head, size)
+            powers = Rolling.powers(int(size.max()) + 1)[0]
+            out[i:j] = np.add.reduceat(table[self.data[offset + np.repeat(self.start[i:j], size)]] * powers[offset], head)
+            i = j
+        return mix(out)
+
+
 def pack_keys(keys: np.ndarray, counts: np.ndarray) -> bytes:
     return pack(np.diff(keys, prepend=U64(0)), counts)
 

@@ -9,17 +9,20 @@ Texts that share a share s of their k-mers in order meet in some sketch with pro
 an edited copy of a few words, all of whose k-mers an edit can touch, may be missed.
 
 Plan. Equal texts are one content from the start (a partial aggregation on a 128-bit digest); only contents have
-sketches, and copies are never expanded. Contents that share a sketch are a bucket; sketches of one content only are
-dropped early (packed counts by hash bucket, then a Bloom filter of fixed size). Members are compared with the bucket's
-leader, who is another one for every third of the sketches, so a group of n copies costs about n comparisons, not n * n,
-and isn't gathered in one task: counting is a partial aggregation and the join to leaders splits hot keys. The
-links to leaders make first classes. Where the members of a bucket, but for its leader, are of more than one class, they
-meet in a group: an index of rare words finds all pairs of two classes that can be within the limit (prefix filter,
-exact), so the classes are those of all pairs that share a sketch. A passage that many texts have makes large buckets of texts that are otherwise different:
-buckets of more than MOST_TOGETHER are first split by the words of that filter, so that a group has the texts that share
-one (words of one text only go no further, and groups of the same texts are one). The filter takes the words that are
-rare among these texts, by counts in a table of fixed size, so the words of the passage come last. Classes are the connected components of the links, found by label propagation with pointer
-jumping. Only contents in shared buckets have their texts fetched, behind a Bloom filter again.
+sketches, and copies are never expanded. A content is a 64-bit number from then on. Contents that share a sketch are a
+bucket, found by a partial aggregation and a join back, so a hot bucket meets in no task. Members are compared with the
+bucket's leader, its least number, so a group of n copies costs about n comparisons, not n * n, and its links are a star.
+The links to leaders make first classes. Where the members of a bucket are of more than one class, they meet in a group:
+all pairs of two classes that have enough words in common are compared, so the classes are those of all pairs that share
+a sketch. A passage that many texts have makes large buckets of texts that are otherwise different: the members of all
+buckets of more than MOST_TOGETHER are grouped by their rare words and word pairs instead (a prefix filter, see keys_of)
+and compared if they share a bucket, which is exact, too; keys that only texts of one class have go no further, and groups
+of the same texts are one. What is rare follows from counts among these texts in a table of fixed size. A group's texts
+are in one task, a part at a time; texts that are alike but for a passage's worth of words are all that makes it large.
+Classes are the connected components of the links (see components).
+
+Texts of used contents are fetched by a join, behind a Bloom filter of fixed size: once it is full, the join moves the
+packed texts of all documents, and the result is the same.
 
 Null text counts as empty; empty or equal texts are one class. A text shorter than SHINGLE words has one k-mer, itself.
 Null ids take part; a class's id is its least id, null only if it has no other. Repeated rows each get their row. Extra
@@ -28,7 +31,7 @@ columns aren't read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +39,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEYS, U64, Bloom, Words, blocks, bloom_filter, bloom_passes, bloom_words, lean, materialize, mix, packed_keys, shared_keys, texts
+from .common import U64, Words, blocks, bloom_filter, bloom_passes, lean, materialize, mix, texts
 
 SHINGLE = 5
 SKETCHES, PICK = 32, 2
 SIMILARITY = 0.8
-LEADERS = 3
 MOST_TOGETHER = 256
-#: counts of words, by so many bits of their hash
-FREQUENCY_BITS = 14
+#: of so many words, the texts of a group are looked at together; of larger ones, in parts
+MOST_WORDS = 1 << 22
+#: counts of word pairs, by so many bits of their hash
+FREQUENCY_BITS = 16
 BLOCK_BYTES = 1 << 20
-BUCKETS = 64
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -174,30 +177,13 @@ def _sketch(batches):
         yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array([r.astype("<u8").tobytes() if r.any() else None for r in rows], pa.binary())], names=["doc_id", "c", "sketch"])
 
 
-def _keys(batches):
+def _explode(batches):
+    """A row for each sketch of a content."""
     for batch in batches:
-        own = [x for x in batch.column(0).to_pylist() if x is not None]
+        own = [(x, y) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if y is not None]
         if own:
-            yield from packed_keys(np.frombuffer(b"".join(own), "<u8"), BUCKETS)
-
-
-def _explode(held):
-    """A row for each sketch of a content that another content may have too."""
-
-    def run(batches):
-        bloom = Bloom(held.value)
-        for batch in batches:
-            own = [(x, y) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if y is not None]
-            if own:
-                keys = np.frombuffer(b"".join(y for _, y in own), "<u8")
-                at = np.flatnonzero(bloom.passes(keys))
-                at = at[np.lexsort((at, keys[at], at // SKETCHES))]
-                # each key of a content once
-                at = at[np.concatenate([[True], (keys[at[1:]] != keys[at[:-1]]) | (at[1:] // SKETCHES != at[:-1] // SKETCHES)])[: len(at)]]
-                who, t = at // SKETCHES, (at % SKETCHES).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([own[i][0] for i in who], pa.binary()), pa.array(keys[at].astype(np.int64)), pa.array(t)], names=["c", "key", "t"])
-
-    return run
+            keys = np.frombuffer(b"".join(y for _, y in own), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x for x, _ in own], SKETCHES)), pa.array(keys)], names=["num", "key"])
 
 
 def _compare(batches):
@@ -215,212 +201,269 @@ def _compare(batches):
 
 
 def _coded(batches, column: str):
-    """(batch, texts' words as numbered hashes, first of each text and the total) for some rows at a time."""
+    """(batch, texts' words and pairs of neighbouring words as numbered hashes, each with the first of each text and the
+    total) for some rows at a time."""
     for whole in batches:
         for start in range(0, whole.num_rows, 256):
             batch = whole.slice(start, 256)
             words = Words([zstandard.decompress(b) for b in batch.column(batch.schema.get_field_index(column)).to_pylist()], lower=True)
-            yield batch, numbered(words.hash, np.repeat(np.arange(batch.num_rows), np.diff(words.first))), words.first
+            size = np.diff(words.first)
+            text = np.repeat(np.arange(batch.num_rows), size)
+            # a text of one word counts as a pair with nothing
+            inside = np.ones(len(text), dtype=bool)
+            inside[words.first[1:][size > 1] - 1] = False
+            after = np.concatenate([words.hash[1:], np.zeros(min(1, len(text)), U64)])
+            after[words.first[1:][size == 1] - 1] = 0
+            pairs = mix(words.hash * U64(0xA0761D6478BD642F) + after)[inside]
+            yield batch, numbered(words.hash, text), words.first, numbered(pairs, text[inside]), np.searchsorted(text[inside], np.arange(batch.num_rows + 1))
+
+
+def _slot(codes: np.ndarray) -> np.ndarray:
+    return (codes >> U64(64 - FREQUENCY_BITS)).astype(np.int64)
 
 
 def _frequency(batches):
-    total = np.zeros(1 << FREQUENCY_BITS, dtype=np.int64)
-    for _, codes, _ in _coded(batches, "body"):
-        total += np.bincount((codes >> U64(64 - FREQUENCY_BITS)).astype(np.int64), minlength=len(total))
+    """Counts of words and, after them, of word pairs, by slot."""
+    size = 1 << FREQUENCY_BITS
+    total = np.zeros(2 * size, dtype=np.int64)
+    for _, words, _, pairs, _ in _coded(batches, "body"):
+        total += np.bincount(np.concatenate([_slot(words), _slot(pairs) + size]), minlength=len(total))
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
 
 
-def prefix(codes: np.ndarray, frequency: np.ndarray) -> np.ndarray:
-    """The first words, in one order for all texts (rare ones first), of which texts within the limit share one at least.
-
-    Texts of n and m words within the limit have SIMILARITY * max(n, m) words in common, so of its own n each may leave
-    out all but the first n - SIMILARITY * n + 1."""
-    order = np.lexsort((codes, frequency[(codes >> U64(64 - FREQUENCY_BITS)).astype(np.int64)]))
-    return codes[order[: int((1 - SIMILARITY) * len(codes) + 1e-9) + 1]]
-
-
-def _prefixes(held):
-    def run(batches):
-        for batch, codes, first in _coded(batches, "body"):
-            heads = [prefix(codes[first[i] : first[i + 1]], held.value).tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.binary())], names=["c", "words"])
-
-    return run
-
+def _first(codes: np.ndarray, frequency: np.ndarray, n: int) -> np.ndarray:
+    """The first n codes in one order for all texts, rare ones first."""
+    return codes[np.lexsort((codes, frequency[_slot(codes)]))[:n]]
 
-def _split(batch) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key of the bucket and the word) of each prefix word of rows (key, c, label, words)."""
-    words = [np.frombuffer(w, U64) for w in batch.column(3).to_pylist()]
-    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    return row, mix(batch.column(0).to_numpy().view(U64)[row] * U64(0x9E3779B97F4A7C15) + np.concatenate(words))
 
+def keys_of(words: np.ndarray, pairs: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+    """Keys of which any two texts within the limit share one at least.
 
-def _split_keys(batches):
-    for whole in batches:
-        for start in range(0, whole.num_rows, 2048):
-            yield from packed_keys(_split(whole.slice(start, 2048))[1], BUCKETS)
+    An edit takes away one word or two pairs of words at most. So texts of n and m words within the limit share
+    SIMILARITY * m words and m - 1 - 2 * (1 - SIMILARITY) * m pairs, where m >= n, and in one order for all texts they share
+    one of the first (1 - SIMILARITY) * n + 1 words as well as one of the first 2 * (1 - SIMILARITY) * n + 1 pairs. Pairs are
+    rarer and make smaller groups, unless most of a text is what many texts have. So a text has its first pairs, but for
+    frequent ones; if there are such, it has its first words, too, as has any text that it shares only such pairs with."""
+    of_words, of_pairs = frequency[: 1 << FREQUENCY_BITS], frequency[1 << FREQUENCY_BITS :]
+    out = _first(pairs, of_pairs, int(2 * (1 - SIMILARITY) * len(words) + 1e-9) + 1)
+    frequent = of_pairs[_slot(out)] > max(MOST_TOGETHER, 8 * int(of_pairs.mean()))
+    if frequent.any():
+        more = _first(words, of_words, int((1 - SIMILARITY) * len(words) + 1e-9) + 1)
+        out = np.concatenate([out[~frequent], mix(more ^ U64(0xA0761D6478BD642F))])
+    return out
 
 
-def _split_rows(held):
-    """A row for each prefix word that another text of the bucket may have too."""
+def _prefixes(held):
+    """A row (key, num, label) for each of the keys of rows (num, label, body)."""
 
     def run(batches):
-        bloom = Bloom(held.value)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                batch = whole.slice(start, 2048)
-                row, key = _split(batch)
-                at = np.flatnonzero(bloom.passes(key))
-                row = pa.array(row[at])
-                yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), batch.column(1).take(row), batch.column(2).take(row)], names=["key", "c", "label"])
+        for batch, words, first, pairs, first_pair in _coded(batches, "body"):
+            heads = [keys_of(words[first[i] : first[i + 1]], pairs[first_pair[i] : first_pair[i + 1]], held.value) for i in range(batch.num_rows)]
+            row = pa.array(np.repeat(np.arange(batch.num_rows), [len(h) for h in heads]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), batch.column(0).take(row), batch.column(1).take(row)], names=["key", "num", "label"])
 
     return run
 
 
-class Group:
-    """Links among texts that come one by one, found by the words of their prefixes. A text comes with the label of what
-    it is known to be connected with; pairs that are connected already are not compared."""
+class Forest:
+    """Union-find over what comes."""
 
     def __init__(self):
-        self.texts, self.parent, self.index = [], {}, {}
+        self.parent: dict = {}
 
-    def root(self, x: bytes) -> bytes:
+    def root(self, x):
+        self.parent.setdefault(x, x)
         while self.parent[x] != x:
             self.parent[x] = x = self.parent[self.parent[x]]
         return x
 
-    def add(self, label: bytes, body: bytes, codes: np.ndarray, keys: list[int]) -> list[tuple[bytes, bytes]]:
-        words, found, bag = None, [], np.sort(codes)
-        self.parent.setdefault(label, label)
-        near: dict[bytes, set[int]] = defaultdict(set)
-        for k in keys:
-            for other, members in self.index.get(k, {}).items():
-                if self.root(other) != self.root(label):
-                    near[other].update(members)
-        for other, members in near.items():
-            for i in sorted(members):
-                if self.root(other) == self.root(label):
-                    break
-                packed, theirs = self.texts[i]
-                least = SIMILARITY * max(len(theirs), len(bag)) - 1e-9
-                # words in common: an edit takes away one at most
-                if min(len(theirs), len(bag)) < least or len(np.intersect1d(theirs, bag, assume_unique=True)) < least:
+    def join(self, a, b) -> bool:
+        """False if a and b are connected already."""
+        a, b = sorted((self.root(a), self.root(b)))
+        self.parent[b] = a
+        return a != b
+
+
+class Group:
+    """Texts that share a key, with their labels: what each is known to be connected with."""
+
+    def __init__(self):
+        self.labels, self.bodies, self.codes, self.buckets = [], [], [], []
+
+    def add(self, label: int, body: bytes, codes: np.ndarray, buckets: frozenset | None) -> None:
+        """buckets: those that the text is in, if not all of the group are in one."""
+        for held, x in zip((self.labels, self.bodies, self.codes, self.buckets), (label, body, codes, buckets), strict=True):
+            held.append(x)
+
+    def links(self) -> list[tuple[int, int]]:
+        """Links between labels. Of labels that are connected already, texts are not compared."""
+        forest, size = Forest(), np.cumsum([len(c) for c in self.codes])
+        if len(set(self.labels)) < 2:
+            return []
+        if size[-1] <= MOST_WORDS:
+            return self._among(range(len(self.labels)), forest)
+        # a part with every other one, so memory is bounded
+        part = (size // (MOST_WORDS // 2)).tolist()
+        parts = [[i for i, p in enumerate(part) if p == k] for k in dict.fromkeys(part)]
+        return [x for a, first in enumerate(parts) for second in parts[a + 1 :] for x in self._among([*first, *second], forest)]
+
+    def _among(self, members, forest: Forest) -> list[tuple[int, int]]:
+        """All texts but those of the most frequent label look for their like by the words in common with all others, which
+        are counted by the lists of the texts that have each word."""
+        members, found = list(members), []
+        most = Counter(forest.root(self.labels[i]) for i in members).most_common(1)[0][0]
+        sizes = np.array([len(self.codes[i]) for i in members])
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        codes, word = np.unique(np.concatenate([self.codes[i] for i in members]), return_inverse=True)
+        having = np.repeat(np.arange(len(members)), sizes)[np.argsort(word, kind="stable")]
+        count = np.bincount(word, minlength=len(codes))
+        begin = np.cumsum(count) - count
+        rest = np.array([forest.root(self.labels[i]) != most for i in members])
+        for k in np.flatnonzero(rest):
+            own = word[first[k] : first[k + 1]]
+            n = count[own]
+            at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(having[at], minlength=len(members))  # an edit takes away one word in common at most
+            near = (common >= SIMILARITY * np.maximum(sizes, sizes[k]) - 1e-9) & (~rest | (np.arange(len(members)) < k))
+            words = None
+            for j in sorted(np.flatnonzero(near).tolist(), key=lambda j: -common[j]):
+                a, b = members[k], members[j]
+                if forest.root(self.labels[a]) == forest.root(self.labels[b]) or self.buckets[a] and self.buckets[b] and self.buckets[a].isdisjoint(self.buckets[b]):
                     continue
-                words = words or split(body)
-                if similar(split(packed), words):
-                    self.parent[self.root(label)] = self.root(other)
-                    found.append((other, label))
-        for k in keys:
-            self.index.setdefault(k, {}).setdefault(label, []).append(len(self.texts))
-        self.texts.append((body, bag))
+                words = words or split(self.bodies[a])
+                if similar(split(self.bodies[b]), words):
+                    forest.join(self.labels[a], self.labels[b])
+                    found.append((self.labels[b], self.labels[a]))
         return found
 
 
-def _join_groups(held):
-    """Links between labels, from rows (key, label, body) that come by key."""
+def _join_groups(batches):
+    """Links between labels, from rows (key, label, body, buckets) that come by key."""
+    at, group = None, Group()
 
-    def run(batches):
-        at, group = None, None
-        for batch, codes, first in _coded(batches, "body"):
-            out = []
-            for i, (key, label, body) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
-                if key != at:
-                    at, group = key, Group()
-                own = codes[first[i] : first[i + 1]]
-                out += group.add(label, body, own, prefix(own, held.value).tolist())
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], names=["a", "b"])
+    def batch_of(found):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
-    return run
+    for batch, codes, first, _, _ in _coded(batches, "body"):
+        for i, (key, label, body, buckets) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
+            if key != at:
+                if found := group.links():
+                    yield batch_of(found)
+                at, group = key, Group()
+            group.add(label, body, codes[first[i] : first[i + 1]], frozenset(buckets) if buckets else None)
+    if found := group.links():
+        yield batch_of(found)
 
 
 def _several(rows: DataFrame) -> DataFrame:
-    """(key, n) of the groups of rows (key, c, label) that have two labels; of groups of the same texts, one."""
-    marks = [F.bit_xor(F.xxhash64(F.lit(k), "c")).alias(f"m{k}") for k in range(2)]
+    """(key, n) of the groups of rows (key, num, label) that have two labels; of groups of the same texts, one."""
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "num")).alias(f"m{k}") for k in range(2)]
     groups = rows.groupBy("key").agg(F.count("*").alias("n"), *marks, F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
     return groups.groupBy("n", "m0", "m1").agg(F.min("key").alias("key")).select("key", "n")
 
 
 def _among(rows: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Links (a, b) between the labels of rows (key, c, label): all that texts of one key and of two labels make."""
+    """Links (a, b) between the labels of rows (key, num, label): all that texts of one key and of two labels make."""
     spark = rows.sparkSession
     rows = materialize(rows.join(_several(rows), "key"))
-    used = materialize(bodies.join(rows.select("c").distinct(), "c", "left_semi"))
-    frequency = np.zeros(1 << FREQUENCY_BITS, dtype=np.int64)
+    used = materialize(bodies.join(rows.select("num").distinct(), "num", "left_semi"))
+    frequency = np.zeros(2 << FREQUENCY_BITS, dtype=np.int32)
     for r in used.select("body").mapInArrow(lean(_frequency), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        frequency[r["slot"]] = r["n"]
+        frequency[r["slot"]] = min(r["n"], 2**31 - 1)
     held = spark.sparkContext.broadcast(frequency)
-    near = rows.where(F.col("n") <= MOST_TOGETHER).select("key", "c", "label")
-    large = rows.where(F.col("n") > MOST_TOGETHER).select("key", "c", "label")
+    near = rows.where(F.col("n") <= MOST_TOGETHER).select("key", "num", "label", F.lit(False).alias("parted"))
+    large = materialize(rows.where(F.col("n") > MOST_TOGETHER).groupBy("num", "label").agg(F.collect_set("key").alias("buckets")))
+    texts_ = used.join(large.select("num", "buckets"), "num", "left")
     if large.limit(1).count():
-        words = used.join(large.select("c").distinct(), "c", "left_semi").mapInArrow(lean(_prefixes(held)), "c binary, words binary")
-        large = materialize(large.join(words, "c").select("key", "c", "label", "words"))
-        shared = spark.sparkContext.broadcast(bloom_words(shared_keys(large.mapInArrow(lean(_split_keys), KEYS))))
-        parts = materialize(large.mapInArrow(lean(_split_rows(shared)), "key long, c binary, label binary"))
-        near = near.unionByName(parts.join(_several(parts).select("key"), "key"))
-    near = near.join(used, "c").select("key", "label", "body", "c")
-    return near.repartition(F.col("key")).sortWithinPartitions("key", "label", "c").drop("c").mapInArrow(lean(_join_groups(held)), "a binary, b binary")
+        parts = used.join(large, "num").select("num", "label", "body").mapInArrow(lean(_prefixes(held)), "key long, num long, label long")
+        parts = materialize(parts)
+        near = near.unionByName(parts.join(_several(parts).select("key"), "key").withColumn("parted", F.lit(True)))
+    near = near.join(texts_, "num").select("key", "label", "body", F.when(F.col("parted"), F.col("buckets")).alias("buckets"), "num")
+    return near.repartition(F.col("key")).sortWithinPartitions("key", "label", "num").drop("num").mapInArrow(lean(_join_groups), "a long, b long")
 
 
 def _zip(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zstandard.compress((t or "").encode(), 3) for t in batch.column(1).to_pylist()], pa.binary())], names=["c", "body"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([zstandard.compress((t or "").encode(), 3) for t in batch.column(2).to_pylist()], pa.binary())], names=["k", "c", "body"])
+
+
+def _bodies(docs: DataFrame, contents: DataFrame, used: DataFrame) -> DataFrame:
+    """(num, body): the packed texts of the contents in used (num)."""
+    used = materialize(contents.join(used, "num", "left_semi").select(F.xxhash64("c", "rep_id").alias("k"), "c", "num"))
+    words, n = bloom_filter(used, F.col("k"))
+    near = bloom_passes(docs.select(F.xxhash64("c", "doc_id").alias("k"), "c", "text"), words, n, F.col("k"))
+    # one row of those that repeat both id and text; the join has dealt them by the same columns
+    return materialize(near.mapInArrow(lean(_zip), "k long, c binary, body binary").join(used, ["k", "c"]).dropDuplicates(["k", "c"]).select("num", "body"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(c, rep_id, n, class) of the contents of docs (doc_id, c, text)."""
-    rows = materialize(docs.select("doc_id", "c", "text").mapInArrow(lean(_sketch), "doc_id long, c binary, sketch binary"))
-    contents = materialize(rows.groupBy("c").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n"), F.first("sketch").alias("sketch")))
-    # sketches that only one content has go no further than their block
-    shared = bloom_words(shared_keys(contents.select("sketch").mapInArrow(lean(_keys), KEYS)))
-    members = contents.select("c", "sketch").mapInArrow(lean(_explode(docs.sparkSession.sparkContext.broadcast(shared))), "c binary, key long, t int")
-    order = F.struct(F.xxhash64("c", F.col("t") % LEADERS).alias("h"), "c")
-    leaders = members.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("leader")).where("n > 1").select("key", F.col("leader.c").alias("leader"))
-    pairs = materialize(members.join(leaders, "key").where("c != leader").select("key", "c", F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b")))
-    wanted = materialize(pairs.select("a", "b").distinct())
-    used = wanted.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    used = materialize(contents.join(used, "c", "left_semi").select("c", "rep_id"))
-    words, n = bloom_filter(used, F.xxhash64("c"))
-    near = bloom_passes(docs.select("doc_id", "c", "text"), words, n, F.xxhash64("c"))
-    # an inner join, as a semi join would be moved in front of the filter; contents are unique
-    body = near.join(used.withColumnRenamed("c", "_c"), (F.col("c") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
-    bodies = materialize(body.select("c", "text").mapInArrow(lean(_zip), "c binary, body binary").dropDuplicates(["c"]))
-    two = wanted.join(bodies.select(F.col("c").alias("a"), F.col("body").alias("body_a")), "a")
-    two = two.join(bodies.select(F.col("c").alias("b"), F.col("body").alias("body_b")), "b")
-    checked = materialize(two.select("a", "b", "body_a", "body_b").mapInArrow(lean(_compare), "a binary, b binary, ok boolean"))
-    labels = components(checked.where("ok").select("a", "b"))
+    """(c, class, class_id, class_size) of the contents of docs (doc_id, c, text)."""
+    rows = docs.select("doc_id", "c", "text").mapInArrow(lean(_sketch), "doc_id long, c binary, sketch binary")
+    contents = rows.groupBy("c").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n"), F.first("sketch").alias("sketch"))
+    # a content's number is fixed once it is written
+    contents = materialize(contents.withColumn("num", F.monotonically_increasing_id()))
+    members = contents.select("num", "sketch").mapInArrow(lean(_explode), "num long, key long")
+    leaders = members.groupBy("key").agg(F.min("num").alias("leader"), F.max("num").alias("last")).where("leader != last").select("key", "leader")
+    pairs = materialize(members.join(leaders, "key").select("key", "num", "leader"))
+    wanted = materialize(pairs.where("num != leader").select("num", "leader").distinct())
+    bodies = _bodies(docs, contents, wanted.select(F.explode(F.array("num", "leader")).alias("num")).distinct())
+    two = wanted.join(bodies.select("num", F.col("body").alias("body_a")), "num")
+    two = two.join(bodies.select(F.col("num").alias("leader"), F.col("body").alias("body_b")), "leader")
+    checked = two.select(F.col("num").alias("a"), F.col("leader").alias("b"), "body_a", "body_b").mapInArrow(lean(_compare), "a long, b long, ok boolean")
+    first = components(checked.where("ok").select("a", "b"))
     # the members of a bucket that are not of one class already meet; all have met the leader
-    rows = pairs.select("key", "c").join(labels, "c", "left").select("key", "c", F.coalesce("label", "c").alias("label"))
-    again = components(_among(materialize(rows), bodies))
-    again = again.select(F.col("c").alias("first"), F.col("label").alias("class"))
-    named = contents.select("c", "rep_id", "n").join(labels, "c", "left").withColumn("first", F.coalesce("label", "c"))
-    return named.join(again, "first", "left").select("c", "rep_id", "n", F.coalesce("class", "first").alias("class"))
+    rows = pairs.select("key", "num").join(first, "num", "left").select("key", "num", F.coalesce("label", "num").alias("label"))
+    again = components(_among(materialize(rows), bodies)).select(F.col("num").alias("first"), F.col("label").alias("final"))
+    # contents that no other one is linked with aren't in any link
+    linked = first.select("num", F.col("label").alias("first")).unionByName(again.join(first, F.col("first") == F.col("num"), "left_anti").select(F.col("first").alias("num"), "first"))
+    linked = linked.join(again, "first", "left").select("num", F.coalesce("final", "first").alias("class"))
+    linked = materialize(linked.join(contents.select("num", "rep_id", "n"), "num"))
+    sizes = linked.groupBy("class").agg(F.min("rep_id").alias("class_id"), F.sum("n").alias("class_size"))
+    known = linked.select("num", "class").join(sizes, "class")
+    return contents.select("c", "rep_id", "n", "num").join(known, "num", "left").select(
+        "c", F.coalesce("class", "num").alias("class"), F.when(F.col("class").isNull(), F.col("rep_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", "n").alias("class_size")
+    )
+
+
+def _forest(batches):
+    """Of the edges of a task, those that connect what the ones before have not."""
+    forest = Forest()
+    for batch in batches:
+        own = [(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if forest.join(a, b)]
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*own, strict=True)], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(c, label): the least node of the component of each node of edges (a, b)."""
-    # buckets find the same links again and again
-    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("label")))
+    """(num, label): the least node of the component of each node of edges (a, b).
+
+    Each round drops the edges that a task finds to be closing a circle, lets every node point to its least neighbour or
+    itself and goes on with the edges between those that are pointed to, so that a star is gone after one round. What
+    nodes point to is then looked up from the last round to the first."""
+    spark, rounds = edges.sparkSession, []
     while True:
-        near = both.join(labels.select(F.col("c").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["c"] == near["u"]).select("c", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("c").alias("label"), F.col("label").alias("far"))
-        new = materialize(step.join(jump, "label", "left").select("c", "old", F.least("label", "far").alias("label")))
-        if new.where("label != old").limit(1).count() == 0:
-            return new.select("c", "label")
-        labels = new.select("c", "label")
+        edges = materialize(edges.mapInArrow(lean(_forest), "a long, b long"))
+        if edges.limit(1).count() == 0:
+            break
+        ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = materialize(ends.groupBy(F.col("a").alias("num")).agg(F.min("b").alias("b")).select("num", F.least("num", "b").alias("label")))
+        rounds.append(to)
+        edges = edges.join(to.select(F.col("num").alias("a"), F.col("label").alias("to_a")), "a").join(to.select(F.col("num").alias("b"), F.col("label").alias("to_b")), "b")
+        edges = edges.where("to_a != to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+    if not rounds:
+        return spark.createDataFrame([], "num long, label long")
+    labels = rounds.pop()
+    while rounds:
+        far = labels.select(F.col("num").alias("label"), F.col("label").alias("far"))
+        labels = rounds.pop().join(far, "label", "left").select("num", F.coalesce("far", "label").alias("label"))
+    return materialize(labels)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: doc_id, c (its content), class (the class's content), class_id (its least id), class_size."""
+    """A row per document: doc_id, c (its content), class (the class's number), class_id (its least id), class_size."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("c", content(F.col("text")))
-    named = classes(docs)
-    sizes = named.groupBy("class").agg(F.min("rep_id").alias("class_id"), F.sum("n").alias("class_size"))
-    known = named.select("c", "class").join(sizes, "class")
-    return docs.select("doc_id", "c").join(known, "c").select("doc_id", "c", "class", "class_id", "class_size")
+    return docs.select("doc_id", "c").join(classes(docs), "c").select("doc_id", "c", "class", "class_id", "class_size")
 
 
 def op4_order_minhash(spark, sf_dir: str) -> DataFrame:
