@@ -77,3 +77,89 @@ def test_query_hides_everything_and_empty_table(spark, sf_dir):
 def test_short_names_without_a_title():
     spans = [(text, what) for a, b, what, text in s.find("Ms Kim met Mr Max Lee. Kim thanked Lee, and Max left; Kimono and kim stay.")]
     assert spans == [("Kim", "surname"), ("Max", "given_m"), ("Lee", "surname"), ("Kim", "surname"), ("Lee", "surname"), ("Max", "given_m")]
+
+
+def test_one_person_however_written():
+    text = "Mrs Anna Keller met Dr Anna Keller. Dr. Anna KELLER, MRS ANNA KELLER, KELLER and Keller. Anna Keller wrote."
+    new = swap(text)
+    m = re.fullmatch(r"Mrs (\w+) (\w+) met Dr (\w+) (\w+)\. Dr\. (\w+) (\w+), MRS (\w+) (\w+), (\w+) and (\w+)\. (\w+) (\w+) wrote\.", new)
+    assert m, new
+    assert len({x.casefold() for x in m.group(1, 3, 5, 7, 11)}) == 1 and len({x.casefold() for x in m.group(2, 4, 6, 8, 9, 10, 12)}) == 1
+    assert m[6] == m[8] == m[9] == m[2].upper() and m[7] == m[1].upper() and not {"anna", "keller"} & set(re.findall(r"\w+", new.casefold()))
+    assert re.fullmatch("[A-Z][a-z]+(mann|berg|sen|ton|well|ley)", m[2])
+    assert swap("James Miller left") != "James Miller left" and swap("Charlotte is a town. Paris Charlotte") == "Charlotte is a town. Paris Charlotte"
+
+
+def test_one_number_however_written():
+    new = [re.sub(r"\D", "", swap(f"call {x} now")) for x in ("+491701234567", "+49 170 1234567", "+49 (170) 123-4567", "(0170) 123-4567")]
+    assert new[0] == new[1] == new[2] != "491701234567" and new[0][:2] == "49" and new[3] == "0" + new[0][2:]
+
+
+def test_names_in_parts():
+    new = swap("Mr Jean-Luc O'Brien and Ms Eva Keller-Berg. Then Berg said.")
+    m = re.fullmatch(r"Mr (\w+)-(\w+) O'(\w+) and Ms (\w+) (\w+)-(\w+)\. Then (\w+) said\.", new)
+    assert m and m[6] == m[7] and not {"Jean", "Luc", "Brien", "Eva", "Keller", "Berg"} & set(m.groups())
+
+
+def people(spark, texts):
+    """Surrogates of documents by brute force: all texts in one place, no mapping table but a dictionary."""
+    told, seen = {}, {}
+    for t in texts:
+        for gender, person, _, _ in s.persons(t):
+            if gender and person:
+                told.setdefault(person, set()).add(gender)
+    genders = {p: min(g) for p, g in told.items() if len(g) == 1}
+    real = set()
+    for t in texts:
+        own = {p: g for g, p, _, _ in s.persons(t) if g}
+        for a, b, kind, value in s.find(t, {**genders, **own}):
+            real.add((kind, value))
+    names = {v for k, v in real if k.startswith(("given", "surname"))}
+    for kind, value in sorted(real):
+        attempt, new = 0, s.surrogate(KEY, kind, value)
+        while new in names and kind.startswith(("given", "surname")):
+            attempt += 1
+            new = s.surrogate(KEY, kind, value, attempt)
+        seen[kind, value] = new
+    out = []
+    for t in texts:
+        new, at = "", 0
+        for a, b, kind, value in s.find(t, genders):
+            new += t[at:a] + s.rendered(kind, t[a:b], seen[kind, value])
+            at = b
+        out.append(new + t[at:])
+    return out, seen
+
+
+def test_genders_of_the_corpus_against_brute_force(spark):
+    texts = ["Dr Luca Moretti came.", "Mrs Luca Moretti left.", "Prof Andrea Rossi.", "Mr Andrea Rossi and Mrs Andrea Rossi.", "Dr Robin Smith", "Mr Robin Smith, then Dr Robin Smith. Smith!", "nobody", "Herr Max Berg; Max Berg"] * 2
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string").repartition(3)
+    want, seen = people(spark, texts)
+    assert len(set(seen.values())) == len(seen)
+    for most in (s.MOST_BROADCAST, 0):
+        old, s.MOST_BROADCAST = s.MOST_BROADCAST, most
+        try:
+            got = {r.doc_id: r for r in s.anonymize(docs, KEY).collect()}
+        finally:
+            s.MOST_BROADCAST = old
+        assert [got[i].text for i in range(len(texts))] == want
+        assert got[None].text is None and got[None]["a.b"] == "y"
+    assert want[0].split()[1] == want[1].split()[1]  # a woman, as only another text says
+
+
+def test_names_never_become_other_real_names(spark, monkeypatch):
+    # every made-up surname is a real given name elsewhere
+    first = s.surrogate(KEY, "surname", "Keller")
+    docs = spark.createDataFrame([(1, "Mr Max Keller"), (2, f"Mrs {first} Lang")], "doc_id long, text string")
+    new = {r.doc_id: r.text for r in s.anonymize(docs, KEY).collect()}
+    assert first not in new[1] and first not in new[2]
+
+
+def test_key_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "Mr Max Lee", 5)], "doc_id long, text string, _spans int")
+    with pytest.raises(ValueError):
+        s.anonymize(docs, b"")
+    out = s.anonymize(docs, KEY)
+    assert out.columns == ["doc_id", "text", "_spans", "_spans_"] and out.first()._spans == 5
+    assert len(s.session_key(spark)) == 32 and s.session_key(spark) == s.session_key(spark)
