@@ -42,7 +42,7 @@ def test_trees_share_prefixes_and_give_back_every_conversation(spark):
     want = brute(convs)
     leaf = {}
     for p in prefixes.collect():
-        if len(p.key) > len(leaf.get(p.conv_id, b"")):
+        if p.last:
             leaf[p.conv_id] = bytes(p.key)
     for c, key in leaf.items():
         n = by_key[key]
@@ -71,3 +71,28 @@ def test_query_against_sql(spark, sf_dir):
     got = [tuple(r) for r in chat.op6_prefix_tree(spark, sf_dir).collect()]
     assert sorted(map(repr, want)) == sorted(map(repr, got))
     assert {r[0] for r in got} >= {-7}
+
+
+def digests(prefixes, nodes):
+    return {r.conv_id: r[1:] for r in chat.read(prefixes, nodes).mapInArrow(chat._digests, chat.DIGEST).collect()}
+
+
+def test_result_is_read_from_the_packed_layout(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(chat, "PAGE", 16)
+    rows = [(c, i, "assistant" if i % 2 else "user", t, "") for c, turns in enumerate(["ab", "acd", "ace", "b", "acdfgh"]) for i, t in enumerate(turns)]
+    prefixes, nodes = chat.trees(spark.createDataFrame(rows, SCHEMA))
+    nodes = chat.materialize(nodes)
+    want = digests(prefixes, nodes)
+    assert {c: (w[0], w[4]) for c, w in want.items()} == {c: (n, n * len("<s>[INST]  [/INST]x</s>") + (n + 1) // 2 * 4 + n // 2 * 9) for c, n in enumerate([2, 3, 3, 1, 6])}
+    for column, wrong in (("start", F.col("start") + 1), ("stop", F.col("stop") - 1), ("position", F.lit(-5)), ("ancestors", F.expr("slice(ancestors, 1, 0)")), ("loss_start", F.col("loss_start") + 1), ("ancestors", F.transform("ancestors", lambda x: F.struct((x.start + 1).alias("start"), x.stop.alias("stop"))))):
+        assert digests(prefixes, nodes.withColumn(column, wrong)) != want, column
+
+
+def test_a_deep_conversation_costs_little(spark):
+    rows = [(c, i, "user", "x" if i < 1990 else f"{c}", "") for c in range(3) for i in range(2000)]
+    prefixes, nodes = chat.trees(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    nodes = nodes.collect()
+    assert len(nodes) == 1990 + 3 * 10
+    assert sum(len(n.key) + len(n.tree) + 16 * len(n.ancestors) for n in nodes) < 200_000
