@@ -16,13 +16,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BLOCKS, bloom_filter, bloom_passes
+from .common import MAX_BLOCKS, bloom_filter, bloom_passes, columns_of, free_names
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: parameters that say where a visitor came from, not what the page is
 TRACKING = r"(utm_[^=&]*|ref|gclid|fbclid)(=[^&]*)?"
 
 
+NEW = ["url_host", "url_path", "url_canonical", "url_rule", "url_listed", "url_verdict"]
+
+
 @dataclass(frozen=True)
 class Rule:
     host: str
@@ -71,27 +74,20 @@ def bloom(listed: DataFrame) -> tuple[DataFrame, int]:
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], url_col: str = "url", listed_col: str = "url") -> DataFrame:
     """pages with url_host, url_path, url_canonical, url_rule (null if none fits), url_listed and url_verdict.
 
-    pages must not have columns of these names; they are replaced if it has.
+    Columns that have these names already stay; the new ones get underscores until their names are free.
     """
-    own = [c for c in pages.columns if c not in ("url_host", "url_path", "url_canonical", "url_rule", "url_listed", "url_verdict")]
     listed = host_path(listed.select(F.col(listed_col).alias("_listed")), "_listed").select(canonical().alias("_canon")).where("_canon is not null").distinct()
     words, blocks = bloom(listed)
     # own columns travel in one struct, so that none of their names can clash
-    df = host_path(pages.select(F.struct(*own).alias("_row"), F.col(url_col).alias("_url")), "_url")
+    df = host_path(pages.select(F.struct(*columns_of(pages)).alias("_row"), F.col(f"`{url_col}`").alias("_url")), "_url")
     df = df.select("_row", "_host", "_path", canonical().alias("_canon"), first_rule(rules, lambda r: r.name).alias("_rule"), first_rule(rules, lambda r: r.verdict).alias("_said"))
     df = bloom_passes(df, words, blocks, F.xxhash64("_canon"), flag="_maybe")
     df = df.withColumn("_maybe", F.col("_maybe") & F.col("_canon").isNotNull())
     sure = df.where(~F.col("_maybe")).withColumn("_hit", F.lit(False))
     hits = df.where("_maybe").join(listed.withColumn("_in", F.lit(True)), "_canon", "left").withColumn("_hit", F.col("_in").isNotNull()).drop("_in")
-    return sure.unionByName(hits).select(
-        "_row.*",
-        F.col("_host").alias("url_host"),
-        F.col("_path").alias("url_path"),
-        F.col("_canon").alias("url_canonical"),
-        F.col("_rule").alias("url_rule"),
-        F.col("_hit").alias("url_listed"),
-        F.coalesce("_said", F.when(F.col("_hit"), "block").otherwise("allow")).alias("url_verdict"),
-    )
+    verdict = F.coalesce("_said", F.when(F.col("_hit"), "block").otherwise("allow"))
+    new = zip(free_names(pages, NEW), (F.col("_host"), F.col("_path"), F.col("_canon"), F.col("_rule"), F.col("_hit"), verdict), strict=True)
+    return sure.unionByName(hits).select("_row.*", *(c.alias(name) for name, c in new))
 
 
 RULES = [Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow")]
