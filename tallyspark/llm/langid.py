@@ -120,21 +120,17 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], li
 
 
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", landmarks: int = LANDMARKS, per_language: int = TRAIN_PER_LANGUAGE) -> Model | None:
-    """A model from at most per_language rows of each language, those of the least hashes of their id."""
-    order = F.xxhash64(F.lit(11), F.col(id_col).cast("string"))
-    rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("_lang"), order.alias("_h"), F.col(text_col).alias("_text"))
-    # ids first, without texts: every task keeps its least hashes of each language
-    ranked = rows.select("_lang", "_h").withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))).where(F.col("_rank") <= per_language)
-    most = {r["_lang"]: r["_most"] for r in ranked.groupBy("_lang").agg(F.max("_h").alias("_most")).collect()}
-    if not most:
-        return None
-    drawn = F.lit(False)
-    for lang, h in most.items():
-        drawn = drawn | ((F.col("_lang") == lang) & (F.col("_h") <= h))
+    """A model from at most per_language rows of each language, those of the least hashes of their id and, of one id, of
+    the text; repeated rows that are drawn teach once."""
+    lang, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
+    order = F.struct(F.xxhash64(F.lit(11), F.col(f"`{id_col}`").cast("string")).alias("id"), F.xxhash64(F.lit(11), text).alias("text"))
+    rows = train.where(lang.isNotNull() & text.isNotNull()).select(lang.alias("_lang"), order.alias("_h"), text.alias("_text"))
+    # hashes first, without texts: every task keeps its least ones of each language
+    drawn = rows.select("_lang", "_h").withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))).where(F.col("_rank") <= per_language)
+    drawn = F.broadcast(drawn.select("_lang", "_h").distinct())  # at most per_language rows a language
     sample: dict[str, list] = {}
-    for r in sorted(rows.where(drawn).collect(), key=lambda r: (r["_h"], r["_lang"], r["_text"])):
-        if len(sample.setdefault(r["_lang"], [])) < per_language:  # rows of equal id hash may be more
-            sample[r["_lang"]].append((r["_lang"], r["_text"]))
+    for r in sorted(rows.join(drawn, ["_lang", "_h"]).dropDuplicates(["_lang", "_h"]).collect(), key=lambda r: (r["_lang"], r["_h"])):
+        sample.setdefault(r["_lang"], []).append((r["_lang"], r["_text"]))
     return solve([r for lang in sorted(sample) for r in sample[lang]], landmarks)
 
 
@@ -147,7 +143,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             lang, score = predict(held.value, block.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     return picked.mapInArrow(lean(run), f"`{id_col}` long, lang_pred string, score double")
 
 
