@@ -15,6 +15,7 @@ the id and the text are not read, so their names can't clash.
 from __future__ import annotations
 
 import base64
+import hashlib
 import math
 import zlib
 from collections import defaultdict
@@ -32,7 +33,7 @@ from .common import blocks, input_bytes, lean, pack, texts, unpack
 BLOCK_BYTES = 12 << 20
 PARTS = "block long, bucket int, doc_ids array<long>, lens array<int>, body binary"
 
-_encoders: dict[int, object] = {}
+_encoders: dict[bytes, object] = {}
 
 
 def read_ranks(path: str) -> bytes:
@@ -46,12 +47,13 @@ def ranks_of(raw: bytes) -> dict[bytes, int]:
 
 
 def _encoder(raw: bytes, pattern: str):
-    if id(raw) not in _encoders:
+    key = hashlib.sha256(raw + pattern.encode()).digest()
+    if key not in _encoders:
         import tiktoken
 
         _encoders.clear()
-        _encoders[id(raw)] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks_of(raw), special_tokens={})
-    return _encoders[id(raw)]
+        _encoders[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks_of(raw), special_tokens={})
+    return _encoders[key]
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -202,7 +204,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    buckets = min(4096, max(64, math.isqrt(input_bytes(docs, text_col) >> 16)))
+    buckets = max(64, math.isqrt(input_bytes(docs, text_col) >> 16))  # as many as a block and a bucket both stay of a size
     parts = docs.mapInArrow(lean(_pretokenize(pattern, id_col, text_col, buckets, block_bytes)), PARTS)
     # words meet by bucket; positions, in bucket -1, are dealt out by block and pass through
     by_word = parts.repartition(F.expr("CASE WHEN bucket < 0 THEN block ELSE bucket END")).sortWithinPartitions("bucket")
