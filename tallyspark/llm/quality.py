@@ -6,10 +6,11 @@ Jensen-Shannon distance (square root of the divergence in bits, 0 to 1). The nea
 give rough histograms, so each distance is used only from a minimum length on. Plain counts (base_failed) come first.
 
 References are exact sums over all documents. Common words are found without shuffling the vocabulary: words are first
-counted in 65,536 hash bins per language (a bounded aggregate in every task), then exactly within the heaviest bins; the
+counted in BINS hash bins per language (a bounded aggregate in every task), then exactly within the heaviest bins; the
 list is proved complete when its last word is at least as frequent as the heaviest bin that was left out, and the bins
 are widened until it is. Only the references (COMMON_WORDS words and seven class counts per language) go to the driver
-and into the plan. Documents are never shuffled.
+and into the plan, as one constant that every document's few distinct common words are looked up in, so the plan is the
+same for any number of languages. Documents are never shuffled.
 
 Null text counts as empty; a null language has no reference; a language with fewer than LEAST_REFERENCE words has none
 either; without any reference only the base rules decide. Repeated rows are kept. An empty table gives an empty result.
@@ -17,14 +18,18 @@ either; without any reference only the base rules decide. Repeated rows are kept
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import columns_of
+
 COMMON_WORDS = 16
 CHAR_WORDS, CHAR_DISTANCE = 50, 0.30
 WORD_WORDS, WORD_DISTANCE = 100, 0.33
 LEAST_REFERENCE = 1000
-BINS = 1 << 16
+BINS = 1 << 12
 #: lower case, upper case, digits, white space, full stop and comma, other ASCII, the rest
 CLASSES = ("lower", "upper", "digit", "space", "stop", "other_ascii", "beyond_ascii")
 NEW = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
@@ -71,7 +76,8 @@ def base_counts(df: DataFrame) -> DataFrame:
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, list[str], list[float], list[float]]]:
     """(language, common words, their shares and that of all others, shares of CLASSES) of each language, over all rows."""
-    df = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("_lang"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    lang, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
+    df = docs.where(lang.isNotNull()).select(lang.alias("_lang"), F.coalesce(text, F.lit("")).alias("_text"))
     classes = class_counts(df, "_text").groupBy("_lang").agg(*(F.sum(F.col("_classes")[i]).alias(c) for i, c in enumerate(CLASSES)))
     words = words_of(df, "_text", "_words").select("_lang", F.explode("_words").alias("_word")).select("_lang", F.lower("_word").alias("_word"))
     words = words.withColumn("_bin", F.pmod(F.xxhash64("_word"), F.lit(BINS)).cast("int"))
@@ -109,56 +115,84 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     return out
 
 
-def distance(p: Column, q: list[float]) -> Column:
-    """Jensen-Shannon distance of an array of shares and fixed shares."""
-    q = F.array(*(F.lit(float(x)) for x in q))
-    half = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
-    terms = F.zip_with(p, q, lambda a, b: half(a, b) + half(b, a))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
+_REFS = "array<struct<q:array<double>,rest:double,classes:array<double>>>"
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", refs: list | None = None) -> DataFrame:
-    """docs with the columns NEW; kept is false for what the base rules or the divergence reject. Input columns with
-    these names are replaced."""
+def _table(refs: list) -> tuple[list[str], Column]:
+    """(all common words, a constant with an entry per language: share of each word in it, of all others, of CLASSES)."""
+    vocabulary = sorted({w for _, words, _, _ in refs for w in words})
+    at = {w: i for i, w in enumerate(vocabulary)}
+    rows = []
+    for _, words, shares, classes in refs:
+        q = [0.0] * len(vocabulary)
+        for w, x in zip(words, shares, strict=False):
+            q[at[w]] = x
+        rows.append({"q": q, "rest": shares[-1], "classes": classes})
+    return vocabulary, F.from_json(F.lit(json.dumps(rows)), _REFS)
+
+
+def _half(a: Column, b: Column) -> Column:
+    """What a bin adds to the divergence of a from the mean of a and b, in bits, twice."""
+    return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
+
+
+def _distance(terms: Column, rest: Column) -> Column:
+    return F.sqrt(F.greatest(F.lit(0.0), (F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) + rest) / 2))
+
+
+def _runs(df: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """df with _runs, array of (i, p): the place in vocabulary and the share of each common word that a text has."""
+    df = df.withColumn("_common", F.sort_array(F.filter(F.transform("_words", F.lower), lambda w: w.isin(vocabulary))))
+    df = df.withColumn("_bounds", F.expr("CASE WHEN size(_common) > 0 THEN filter(sequence(0, size(_common) - 1), j -> j = 0 OR _common[j] != _common[j - 1]) ELSE array() END"))
+    df = df.withColumn("_counts", F.expr("zip_with(_bounds, slice(_bounds, 2, size(_common)), (a, b) -> coalesce(b, size(_common)) - a)"))
+    places = F.transform("_bounds", lambda j: F.array_position(F.array(*map(F.lit, vocabulary)), F.get("_common", j)).cast("int") - 1)
+    return df.withColumn("_runs", F.zip_with(places, "_counts", lambda i, n: F.struct(i.alias("i"), (n / F.col("n_words")).alias("p")))).drop("_common", "_bounds", "_counts")
+
+
+def _judged(docs: DataFrame, text_col: str, lang_col: str, refs: list | None) -> DataFrame:
+    """_row, all of a row of docs, and the columns NEW."""
     refs = references(docs, text_col, lang_col) if refs is None else refs
-    own = [c for c in docs.columns if c not in NEW]
-    df = docs.select(F.struct(*own).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    df = docs.select(F.struct(*columns_of(docs)).alias("_row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
     df = class_counts(base_counts(words_of(df, "_text", "_words")), "_text")
-    vocabulary = sorted({w for _, words, _, _ in refs for w in words})
-    if vocabulary:
-        common = F.filter("_words", lambda w: F.lower(w).isin(vocabulary))
-        df = df.withColumn("_common", F.concat(F.lit(" "), F.lower(F.array_join(common, "  ")), F.lit(" ")))
-        counts = {w: (F.octet_length("_common") - F.octet_length(F.replace(F.col("_common"), F.lit(f" {w} "), F.lit("")))) / (len(w.encode()) + 2) for w in vocabulary}
-        df = df.withColumn("_counts", F.array(*(counts[w] for w in vocabulary)))
+    if refs:
+        vocabulary, table = _table(refs)
+        df = _runs(df, vocabulary).withColumn("_refs", table)
         df = df.withColumn("_chars", F.greatest(F.aggregate("_classes", F.lit(0).cast("long"), lambda s, x: s + x), F.lit(1)))
-        by_char, by_word = [], []
         df = df.withColumn("_shares", F.transform("_classes", lambda x: x / F.col("_chars")))
-        for lang, words, shares, classes in refs:
-            bins = [F.col("_counts")[vocabulary.index(w)] / F.greatest("n_words", F.lit(1)) for w in words]
-            name = f"_p{len(by_char)}"
-            rest = F.lit(1.0)
-            for b in bins:
-                rest = rest - b
-            df = df.withColumn(name, F.array(*bins, F.greatest(rest, F.lit(0.0))))
-            by_char.append(distance(F.col("_shares"), classes))
-            by_word.append(distance(F.col(name), shares))
-        smallest = lambda x: F.array_min(F.array(*x))
-        df = df.withColumn("char_distance", smallest(by_char)).withColumn("word_distance", smallest(by_word))
+
+        def by_char(ref: Column) -> Column:
+            return _distance(F.zip_with("_shares", ref.classes, lambda p, q: _half(p, q) + _half(q, p)), F.lit(0.0))
+
+        def by_word(ref: Column) -> Column:
+            own = F.filter("_runs", lambda r: F.get(ref.q, r.i) > 0)
+            # words of the language that the text lacks add their share; all words outside it are one bin
+            terms = F.transform(own, lambda r: _half(r.p, F.get(ref.q, r.i)) + _half(F.get(ref.q, r.i), r.p) - F.get(ref.q, r.i))
+            rest = F.greatest(F.lit(0.0), F.aggregate(own, F.lit(1.0), lambda s, r: s - r.p))
+            return _distance(terms, 1 - ref.rest + _half(rest, ref.rest) + _half(ref.rest, rest))
+
+        df = df.withColumn("char_distance", F.array_min(F.transform("_refs", by_char))).withColumn("word_distance", F.array_min(F.transform("_refs", by_word)))
     else:
         df = df.withColumn("char_distance", F.lit(None).cast("double")).withColumn("word_distance", F.lit(None).cast("double"))
     strange = (F.col("n_words") >= CHAR_WORDS) & (F.col("char_distance") > CHAR_DISTANCE)
     strange = strange | ((F.col("n_words") >= WORD_WORDS) & (F.col("word_distance") > WORD_DISTANCE))
     df = df.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(strange, F.lit(False)))
-    return df.select("_row.*", *NEW)
+    return df.select("_row", *NEW)
+
+
+def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", refs: list | None = None) -> DataFrame:
+    """docs with the columns NEW; kept is false for what the base rules or the divergence reject. Input columns with
+    these names are replaced; accepted() keeps them."""
+    own = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in NEW]
+    return _judged(docs, text_col, lang_col, refs).select(*own, *NEW)
 
 
 def accepted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs.
+    """The rows of docs that the rules keep, with all columns of docs.
 
     The row number is there to keep the optimizer from pushing the filter, and with it a copy of every expression that it
     is made of, below the projections that compute them once."""
-    out = quality_rules(docs, text_col, lang_col).withColumn("_at", F.monotonically_increasing_id())
-    return out.where(F.col("kept") & (F.col("_at") >= 0)).select(*(F.col(f"`{c}`") for c in docs.columns if c not in NEW))
+    out = _judged(docs, text_col, lang_col, None).withColumn("_at", F.monotonically_increasing_id())
+    return out.where(F.col("kept") & (F.col("_at") >= 0)).select("_row.*")
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
