@@ -16,7 +16,7 @@ bucket's leader, its least number, so a group of n copies costs about n comparis
 The links to leaders make first classes. Where the members of a bucket are of more than one class, they meet in a group:
 all pairs of two classes that have enough words in common are compared, so the classes are those of all pairs that share
 a sketch. A passage that many texts have makes large buckets of texts that are otherwise different: the members of all
-buckets of more than MOST_TOGETHER are grouped by their rare words and word pairs instead (a prefix filter, see keys_of)
+buckets of more than MOST_TOGETHER are grouped by their rare runs of words instead (a prefix filter, see keys_of)
 and compared if they share a bucket, which is exact, too; keys that only texts of one class have go no further, and groups
 of the same texts are one. What is rare follows from counts among these texts in a table of fixed size. A group's texts
 are in one task, a part at a time; texts that are alike but for a passage's worth of words are all that makes it large.
@@ -48,8 +48,8 @@ SIMILARITY = 0.8
 MOST_TOGETHER = 256
 #: of so many words, the texts of a group are looked at together; of larger ones, in parts
 MOST_WORDS = 1 << 22
-#: counts of word pairs, by so many bits of their hash
-FREQUENCY_BITS = 16
+#: keys of large groups are runs of so many words; counts of them, by so many bits of their hash
+LONGEST, FREQUENCY_BITS = 3, 16
 BLOCK_BYTES = 1 << 20
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -201,22 +201,24 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], names=["a", "b", "ok"])
 
 
-def _coded(batches, column: str):
-    """(batch, texts' words and pairs of neighbouring words as numbered hashes, each with the first of each text and the
-    total) for some rows at a time."""
+def _coded(batches, column: str, longest: int = 1):
+    """(batch, [(numbered hashes of all runs of k neighbouring words, first of each text and the total) for k up to
+    longest]) for some rows at a time."""
     for whole in batches:
         for start in range(0, whole.num_rows, 256):
             batch = whole.slice(start, 256)
             words = Words([zstandard.decompress(b) for b in batch.column(batch.schema.get_field_index(column)).to_pylist()], lower=True)
-            size = np.diff(words.first)
-            text = np.repeat(np.arange(batch.num_rows), size)
-            # a text of one word counts as a pair with nothing
-            inside = np.ones(len(text), dtype=bool)
-            inside[words.first[1:][size > 1] - 1] = False
-            after = np.concatenate([words.hash[1:], np.zeros(min(1, len(text)), U64)])
-            after[words.first[1:][size == 1] - 1] = 0
-            pairs = mix(words.hash * U64(0xA0761D6478BD642F) + after)[inside]
-            yield batch, numbered(words.hash, text), words.first, numbered(pairs, text[inside]), np.searchsorted(text[inside], np.arange(batch.num_rows + 1))
+            n, levels = np.diff(words.first), []
+            for k in range(1, longest + 1):
+                count = np.maximum(n - k + 1, 0)
+                first = np.concatenate([[0], np.cumsum(count)])
+                text = np.repeat(np.arange(len(n)), count)
+                at = words.first[text] + np.arange(first[-1]) - first[text]
+                code = np.zeros(len(at), dtype=U64)
+                for j in range(k):
+                    code = mix(code * U64(0xA0761D6478BD642F) + words.hash[at + j])
+                levels.append((numbered(code, text), first))
+            yield batch, levels
 
 
 def _slot(codes: np.ndarray) -> np.ndarray:
@@ -224,43 +226,49 @@ def _slot(codes: np.ndarray) -> np.ndarray:
 
 
 def _frequency(batches):
-    """Counts of words and, after them, of word pairs, by slot."""
+    """Counts of words, of word pairs and of triples, one after another, by slot."""
     size = 1 << FREQUENCY_BITS
-    total = np.zeros(2 * size, dtype=np.int64)
-    for _, words, _, pairs, _ in _coded(batches, "body"):
-        total += np.bincount(np.concatenate([_slot(words), _slot(pairs) + size]), minlength=len(total))
+    total = np.zeros(LONGEST * size, dtype=np.int64)
+    for _, levels in _coded(batches, "body", LONGEST):
+        for k, (codes, _) in enumerate(levels):
+            total[k * size : (k + 1) * size] += np.bincount(_slot(codes), minlength=size)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
 
 
-def _first(codes: np.ndarray, frequency: np.ndarray, n: int) -> np.ndarray:
-    """The first n codes in one order for all texts, rare ones first."""
-    return codes[np.lexsort((codes, frequency[_slot(codes)]))[:n]]
-
+def keys_of(levels: list[np.ndarray], frequency: np.ndarray) -> np.ndarray:
+    """Keys of which any two texts within the limit share one at least; levels are the codes of a text's runs of 1, 2, ...
+    words.
+
+    An edit takes away k runs of k words at most. So texts of n and m words within the limit, m >= n, have in common
+    m - k + 1 - k * (1 - SIMILARITY) * m runs, and if this is one or more they share one of their first runs in an order that
+    holds for all texts, where a text's first ones are all but so many less one. Long runs are rarer and make smaller
+    groups, unless much of a text is what many texts have. So a text has its first runs of LONGEST words but for frequent
+    ones. If there are such, or it is too short, it has its first runs of one word less, too, as has any text with which it
+    shares only these, and so on down to words, all of whose first ones count."""
+    n, out = len(levels[0]), []
+    for k in range(len(levels), 0, -1):
+        codes, known = levels[k - 1], frequency[(k - 1) << FREQUENCY_BITS : k << FREQUENCY_BITS]
+        common = int(np.ceil(n - k + 1 - k * (1 - SIMILARITY) * n - 1e-9))
+        first = codes[np.lexsort((codes, known[_slot(codes)]))[: max(len(codes) - max(common, 1) + 1, 0)]]
+        frequent = known[_slot(first)] > max(MOST_TOGETHER, 8 * int(known.mean()))
+        out.append(mix((first if k == 1 else first[~frequent]) ^ U64(k)))
+        # a text of at most 1 / SIMILARITY times the words may have no run in common
+        if k == 1 or common > 1 and not frequent.any() and int(n * SIMILARITY) * (1 - k * (1 - SIMILARITY)) - k + 1 > 1e-9:
+            break
+    return np.concatenate(out)
 
-def keys_of(words: np.ndarray, pairs: np.ndarray, frequency: np.ndarray) -> np.ndarray:
-    """Keys of which any two texts within the limit share one at least.
 
-    An edit takes away one word or two pairs of words at most. So texts of n and m words within the limit share
-    SIMILARITY * m words and m - 1 - 2 * (1 - SIMILARITY) * m pairs, where m >= n, and in one order for all texts they share
-    one of the first (1 - SIMILARITY) * n + 1 words as well as one of the first 2 * (1 - SIMILARITY) * n + 1 pairs. Pairs are
-    rarer and make smaller groups, unless most of a text is what many texts have. So a text has its first pairs, but for
-    frequent ones; if there are such, it has its first words, too, as has any text that it shares only such pairs with."""
-    of_words, of_pairs = frequency[: 1 << FREQUENCY_BITS], frequency[1 << FREQUENCY_BITS :]
-    out = _first(pairs, of_pairs, int(2 * (1 - SIMILARITY) * len(words) + 1e-9) + 1)
-    frequent = of_pairs[_slot(out)] > max(MOST_TOGETHER, 8 * int(of_pairs.mean()))
-    if frequent.any():
-        more = _first(words, of_words, int((1 - SIMILARITY) * len(words) + 1e-9) + 1)
-        out = np.concatenate([out[~frequent], mix(more ^ U64(0xA0761D6478BD642F))])
-    return out
+def _keys_of_all(levels: list, frequency: np.ndarray) -> list[np.ndarray]:
+    return [keys_of([codes[first[i] : first[i + 1]] for codes, first in levels], frequency) for i in range(len(levels[0][1]) - 1)]
 
 
 def _prefixes(held):
     """A row (key, num, label) for each of the keys of rows (num, label, body)."""
 
     def run(batches):
-        for batch, words, first, pairs, first_pair in _coded(batches, "body"):
-            heads = [keys_of(words[first[i] : first[i + 1]], pairs[first_pair[i] : first_pair[i + 1]], held.value) for i in range(batch.num_rows)]
+        for batch, levels in _coded(batches, "body", LONGEST):
+            heads = _keys_of_all(levels, held.value)
             row = pa.array(np.repeat(np.arange(batch.num_rows), [len(h) for h in heads]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), batch.column(0).take(row), batch.column(1).take(row)], names=["key", "num", "label"])
 
@@ -286,10 +294,31 @@ class Forest:
         return a != b
 
 
+class Postings:
+    """For each code the texts that have it."""
+
+    def __init__(self, codes: list[np.ndarray]):
+        sizes = np.array([len(c) for c in codes])
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        _, self.code = np.unique(np.concatenate(codes), return_inverse=True)
+        self.texts = np.repeat(np.arange(len(codes)), sizes)[np.argsort(self.code, kind="stable")]
+        self.count = np.bincount(self.code)
+        self.begin = np.cumsum(self.count) - self.count
+
+    def common(self, k: int) -> np.ndarray:
+        """How many codes each text has in common with text k."""
+        own = self.code[self.first[k] : self.first[k + 1]]
+        n = self.count[own]
+        at = np.repeat(self.begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.texts[at], minlength=len(self.first) - 1)
+
+
 class Group:
-    """Texts that share a key, with their labels: what each is known to be connected with."""
+    """Texts that share a key, with their labels: what each is known to be connected with. Of a group that is a part of
+    larger ones (frequency is given), a pair is compared only in the group of the least key that both texts have."""
 
-    def __init__(self):
+    def __init__(self, key: int, frequency: np.ndarray | None = None):
+        self.key, self.frequency = U64(key % (1 << 64)), frequency
         self.labels, self.bodies, self.codes, self.buckets = [], [], [], []
 
     def add(self, label: int, body: bytes, codes: np.ndarray, buckets: frozenset | None) -> None:
@@ -312,56 +341,75 @@ class Group:
     def _among(self, members, forest: Forest) -> list[tuple[int, int]]:
         """All texts but those of the most frequent label look for their like by the words in common with all others, which
         are counted by the lists of the texts that have each word."""
-        members, found = list(members), []
-        most = Counter(forest.root(self.labels[i]) for i in members).most_common(1)[0][0]
+        members, found = np.array(members), []
+        roots = [forest.root(self.labels[i]) for i in members]
+        most = Counter(roots).most_common(1)[0][0]
         sizes = np.array([len(self.codes[i]) for i in members])
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        codes, word = np.unique(np.concatenate([self.codes[i] for i in members]), return_inverse=True)
-        having = np.repeat(np.arange(len(members)), sizes)[np.argsort(word, kind="stable")]
-        count = np.bincount(word, minlength=len(codes))
-        begin = np.cumsum(count) - count
-        rest = np.array([forest.root(self.labels[i]) != most for i in members])
+        words = Postings([self.codes[i] for i in members])
+        lesser = Postings(self._lesser(members)) if self.frequency is not None else None
+        rest = np.array([r != most for r in roots])
+        wanted = []
         for k in np.flatnonzero(rest):
-            own = word[first[k] : first[k + 1]]
-            n = count[own]
-            at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            common = np.bincount(having[at], minlength=len(members))  # an edit takes away one word in common at most
-            near = (common >= SIMILARITY * np.maximum(sizes, sizes[k]) - 1e-9) & (~rest | (np.arange(len(members)) < k))
-            words = None
-            for j in sorted(np.flatnonzero(near).tolist(), key=lambda j: -common[j]):
-                a, b = members[k], members[j]
-                if forest.root(self.labels[a]) == forest.root(self.labels[b]) or self.buckets[a] and self.buckets[b] and self.buckets[a].isdisjoint(self.buckets[b]):
-                    continue
-                words = words or split(self.bodies[a])
+            common = words.common(k)  # an edit takes away one word in common at most
+            if lesser:
+                common[lesser.common(k) > 0] = 0
+            near = np.flatnonzero((common >= SIMILARITY * np.maximum(sizes, sizes[k]) - 1e-9) & (~rest | (np.arange(len(members)) < k)))
+            wanted += [(members[k], members[j]) for j in near[np.argsort(-common[near], kind="stable")]]
+            if len(wanted) > 100_000:
+                found += self._compared(wanted, forest)
+                wanted = []
+        return found + self._compared(wanted, forest)
+
+    def _lesser(self, members) -> list[np.ndarray]:
+        """The keys of each text that are less than the group's."""
+        out = []
+        for i in range(0, len(members), 256):
+            batch = pa.RecordBatch.from_arrays([pa.array([self.bodies[m] for m in members[i : i + 256]], pa.binary())], names=["body"])
+            out += [k[k < self.key] for _, levels in _coded([batch], "body", LONGEST) for k in _keys_of_all(levels, self.frequency)]
+        return out
+
+    def _compared(self, wanted: list[tuple[int, int]], forest: Forest) -> list[tuple[int, int]]:
+        def open_(a, b):
+            return forest.root(self.labels[a]) != forest.root(self.labels[b]) and not (self.buckets[a] and self.buckets[b] and self.buckets[a].isdisjoint(self.buckets[b]))
+
+        wanted, found, last, words = [p for p in wanted if open_(*p)], [], None, None
+        for a, b in wanted:
+            if open_(a, b):
+                if a != last:
+                    last, words = a, split(self.bodies[a])
                 if similar(split(self.bodies[b]), words):
                     forest.join(self.labels[a], self.labels[b])
                     found.append((self.labels[b], self.labels[a]))
         return found
 
 
-def _join_groups(batches):
+def _join_groups(held):
     """Links between labels, from rows (key, label, body, buckets) that come by key."""
-    at, group = None, Group()
 
     def batch_of(found):
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
-    for batch, codes, first, _, _ in _coded(batches, "body"):
-        for i, (key, label, body, buckets) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
-            if key != at:
-                if found := group.links():
-                    yield batch_of(found)
-                at, group = key, Group()
-            group.add(label, body, codes[first[i] : first[i + 1]], frozenset(buckets) if buckets else None)
-    if found := group.links():
-        yield batch_of(found)
+    def run(batches):
+        at, group = None, None
+        for batch, [(codes, first)] in _coded(batches, "body"):
+            for i, (key, label, body, buckets) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
+                if key != at:
+                    if group and (found := group.links()):
+                        yield batch_of(found)
+                    at, group = key, Group(key, held.value if buckets else None)
+                group.add(label, body, codes[first[i] : first[i + 1]], frozenset(buckets) if buckets else None)
+        if group and (found := group.links()):
+            yield batch_of(found)
+
+    return run
 
 
 def _several(rows: DataFrame) -> DataFrame:
-    """(key, n) of the groups of rows (key, num, label) that have two labels; of groups of the same texts, one."""
+    """(key, n) of the groups of rows (key, num, label) that have two labels; of groups of the same texts, the one of the
+    least key by its 64 bits without a sign."""
     marks = [F.bit_xor(F.xxhash64(F.lit(k), "num")).alias(f"m{k}") for k in range(2)]
     groups = rows.groupBy("key").agg(F.count("*").alias("n"), *marks, F.min("label").alias("least"), F.max("label").alias("most")).where("least != most")
-    return groups.groupBy("n", "m0", "m1").agg(F.min("key").alias("key")).select("key", "n")
+    return groups.groupBy("n", "m0", "m1").agg(F.min(F.col("key").bitwiseXOR(F.lit(-(1 << 63)))).alias("key")).select(F.col("key").bitwiseXOR(F.lit(-(1 << 63))).alias("key"), "n")
 
 
 def _among(rows: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -369,7 +417,7 @@ def _among(rows: DataFrame, bodies: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     rows = materialize(rows.join(_several(rows), "key"))
     used = materialize(bodies.join(rows.select("num").distinct(), "num", "left_semi"))
-    frequency = np.zeros(2 << FREQUENCY_BITS, dtype=np.int32)
+    frequency = np.zeros(LONGEST << FREQUENCY_BITS, dtype=np.int32)
     for r in used.select("body").mapInArrow(lean(_frequency), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
         frequency[r["slot"]] = min(r["n"], 2**31 - 1)
     held = spark.sparkContext.broadcast(frequency)
@@ -381,7 +429,7 @@ def _among(rows: DataFrame, bodies: DataFrame) -> DataFrame:
         parts = materialize(parts)
         near = near.unionByName(parts.join(_several(parts).select("key"), "key").withColumn("parted", F.lit(True)))
     near = near.join(texts_, "num").select("key", "label", "body", F.when(F.col("parted"), F.col("buckets")).alias("buckets"), "num")
-    return near.repartition(F.col("key")).sortWithinPartitions("key", "label", "num").drop("num").mapInArrow(lean(_join_groups), "a long, b long")
+    return near.repartition(F.col("key")).sortWithinPartitions("key", "label", "num").drop("num").mapInArrow(lean(_join_groups(held)), "a long, b long")
 
 
 def _zip(batches):
