@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from tallyspark.llm import bpe, decontam, orderminhash, quality, surrogates
 from tallyspark.llm.common import materialize, without
 
-#: the key of the surrogates; whoever runs the pipeline sets their own
-KEY = b"set by whoever runs it"
 #: after four other stages, executors have less memory to spare than for BPE alone
 BPE_BLOCK_BYTES = 4 << 20
 
@@ -48,7 +46,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars follows the text where a surrogate is of another length."""
-    out = surrogates.anonymize(docs, KEY).select(*docs.columns)
+    out = surrogates.anonymize(docs, surrogates.session_key(spark))
+    out = out.drop(out.columns[-1])
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
