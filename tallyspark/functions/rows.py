@@ -129,6 +129,14 @@ def with_running(df: DataFrame, order: list, sums: dict[str, Column]) -> DataFra
     return parts.join(F.broadcast(totals), "_part").select(*df.columns, *((F.col(n) + F.col(f"_{n}")).alias(n) for n in sums))
 
 
+def with_running_by(df: DataFrame, key: str, order: list, sums: dict[str, Column]) -> DataFrame:
+    """with_running within each value of key: running sums over all rows by key and order, less what they are where the
+    key begins. A key's rows may be in many tasks. Summands aren't negative."""
+    rows = with_running(df, [F.col(key), *order], sums)
+    base = rows.groupBy(key).agg(*(F.min(F.col(n) - v).alias(f"_0{n}") for n, v in sums.items()))  # a row for each key
+    return rows.join(base, key).select(*df.columns, *((F.col(n) - F.col(f"_0{n}")).alias(n) for n in sums))
+
+
 def with_ordinal(df: DataFrame, *by: str, name: str = "ordinal") -> DataFrame:
     """df with the 0-based place of each row in the order of `by`."""
     return with_running(df, list(by), {name: F.lit(1).cast("long")}).withColumn(name, F.col(name) - 1)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rows import with_running
+from ..functions.rows import with_running, with_running_by
 from ..functions.text import let, lits, normalize_whitespace
 from ..schemas import strip
 
@@ -95,15 +97,13 @@ def top1_accuracy(df: DataFrame, pred: str, target: str) -> DataFrame:
 @metric
 def average_precision(df: DataFrame, label: str, score: str, truth: str, ordinal: str, average: str = "macro") -> DataFrame:
     """Average precision over long rows (label, score, truth 0/1); equal scores stand in the order of ordinal, and a label
-    without a positive counts as 0. Macro has a window for each label; micro ranks all rows by
-    range partition."""
-    keys = [] if average == "micro" else [label]
+    without a positive counts as 0. Rows are ranked by range partition, so that a frequent label is in many tasks."""
     order = [F.desc(score), F.col(ordinal), F.col(label)]
-    if keys:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        ranked = df.withColumn("_rank", F.row_number().over(w)).withColumn("_tp", F.sum(truth).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = {"_rank": F.lit(1).cast("long"), "_tp": F.col(truth).cast("long")}
+    if average == "micro":
+        ranked, keys = with_running(df, order, sums), []
     else:
-        ranked = with_running(df, order, {"_rank": F.lit(1).cast("long"), "_tp": F.col(truth).cast("long")})
+        ranked, keys = with_running_by(df, label, order[:2], sums), [label]
     each = ranked.groupBy(*keys).agg(F.sum(F.when(F.col(truth) == 1, F.col("_tp") / F.col("_rank"))).alias("s"), F.sum(truth).alias("p"))
     return each.agg(F.avg(F.when(F.col("p") > 0, F.col("s") / F.col("p")).otherwise(0.0)).alias("average_precision"))
 
@@ -124,11 +124,8 @@ def dataset_map(df: DataFrame, pred: str, target: str, ordinal: str) -> DataFram
     base = df.select(F.col(ordinal).alias("_o"), F.array_distinct(F.filter(pred, lambda x: strip(x) != "")).alias("_p"), F.array_distinct(F.filter(target, lambda x: strip(x) != "")).alias("_t"))
     hit = F.transform(F.array_union("_p", "_t"), lambda x: F.struct(x.alias("label"), F.array_contains("_p", x).cast("int").alias("p"), F.array_contains("_t", x).cast("int").alias("t")))
     rows = base.select("_o", F.explode(hit).alias("x")).select("_o", "x.*")
-    w = Window.partitionBy("label").orderBy("_o")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("label")
-    rows = rows.withColumn("k", F.sum("p").over(so_far)).withColumn("n", F.sum("p").over(whole)).withColumn("ptp", F.sum(F.col("p") * F.col("t")).over(so_far))
-    rows = rows.withColumn("pt", F.sum(F.col("p") * F.col("t")).over(whole)).withColumn("missed", F.sum((1 - F.col("p")) * F.col("t")).over(so_far))
+    rows = with_running_by(rows, "label", ["_o"], {"k": F.col("p").cast("long"), "ptp": (F.col("p") * F.col("t")).cast("long"), "missed": ((1 - F.col("p")) * F.col("t")).cast("long")})
+    rows = rows.join(rows.groupBy("label").agg(F.sum("p").alias("n"), F.sum(F.col("p") * F.col("t")).alias("pt")), "label")
     rank = F.when(F.col("p") == 1, F.col("k")).otherwise(F.col("n") + F.col("_o") - F.col("k") + 1)
     tp = F.when(F.col("p") == 1, F.col("ptp")).otherwise(F.col("pt") + F.col("missed"))
     each = rows.groupBy("label").agg(F.sum(F.when(F.col("t") == 1, tp / rank).otherwise(0.0)).alias("s"), F.sum("t").alias("pos"))
@@ -172,9 +169,14 @@ def cider(df: DataFrame, key: str, pred: str, target: str) -> DataFrame:
 
 
 @metric
-def spider(df: DataFrame, key: str, pred: str, target: str) -> DataFrame:
-    """The mean of cider over 10 and SPICE; SPICE needs an external Java program and counts as 0 here."""
-    return cider(df, key, pred, target).select(((F.col("cider") / 10 + 0.0) / 2).alias("spider"))
+def spider(df: DataFrame, key: str, pred: str, target: str, spice: DataFrame | None = None) -> DataFrame:
+    """The mean of cider over 10 and SPICE, and whether SPICE is in it. spice is one row (spice) from its own external
+    program; without it SPICE counts as 0, as where that program can't run, and a warning says so."""
+    if spice is None:
+        warnings.warn("spider without SPICE is half of cider over 10", stacklevel=2)
+        return cider(df, key, pred, target).select((F.col("cider") / 10 / 2).alias("spider"), F.lit(False).alias("has_spice"))
+    both = cider(df, key, pred, target).crossJoin(F.broadcast(spice.select("spice").limit(1)))  # a row and a row
+    return both.select(((F.col("cider") / 10 + F.col("spice")) / 2).alias("spider"), F.lit(True).alias("has_spice"))
 
 
 def score_sample(processed: Column, raw: Column, kind: Column, text: Column, items: Column, task: Column) -> Column:
@@ -203,12 +205,17 @@ def score_means(df: DataFrame, scores: str, by: str | None = None) -> DataFrame:
 
 
 def dataset_metric(df: DataFrame, task_type: str, pred: str, target: str, ordinal: str) -> DataFrame | None:
-    """The corpus metric of a task type: macro F1, mAP or CIDEr; None for others."""
-    if task_type == "classification":
-        return macro_f1(df, pred, target)
-    if task_type == "detection":
-        return dataset_map(df.withColumn("_p", F.transform(F.split(pred, ","), strip)).withColumn("_t", F.transform(F.split(target, ","), strip)), "_p", "_t", ordinal)
-    return cider(df, ordinal, pred, target) if task_type == "captioning" else None
+    """The corpus metric of a task type: macro F1, mAP or CIDEr; None for others, and with a warning where the columns
+    don't allow it."""
+    try:
+        if task_type == "classification":
+            return macro_f1(df, pred, target)
+        if task_type == "detection":
+            return dataset_map(df.withColumn("_p", F.transform(F.split(pred, ","), strip)).withColumn("_t", F.transform(F.split(target, ","), strip)), "_p", "_t", ordinal)
+        return cider(df, ordinal, pred, target) if task_type == "captioning" else None
+    except AnalysisException as error:
+        warnings.warn(f"no corpus metric for {task_type}: {str(error).splitlines()[0]}", stacklevel=2)
+        return None
 
 
 def vocabulary(df: DataFrame, text: str, ordinal: str) -> DataFrame:

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rows import with_ordinal
+from ..functions.examples import audio_paths, multi_examples, renamed, single_examples, with_aliases
+from ..functions.rows import choose_paths, count_placeholders, last_message, resolve_id, resolve_path, synthetic_id, with_ordinal
 from ..schemas import strip
 
 READERS: dict[str, Callable] = {}
@@ -29,30 +30,100 @@ def read(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
 
 
 @reader("parquet")
-def parquet(spark: SparkSession, path: str, split: str | None = None, subset: str | None = None, columns: list[str] | None = None, order: list[str] | None = None, where=None, limit: int | None = None) -> DataFrame:
-    """A Parquet table; order numbers the rows before the filters."""
+def parquet(spark: SparkSession, path: str, split: str | None = None, subset: str | None = None, columns: list[str] | None = None, order: list[str] | None = None, where=None, limit: int | None = None, after_filter: bool = False) -> DataFrame:
+    """A Parquet table; order numbers the rows, before the filters or after them, as a stream would."""
     df = spark.read.parquet(path)
-    if order:
-        df = with_ordinal(df, *order)
+    keep = F.lit(True)
     if split is not None and "split" in df.columns:
-        df = df.where(F.col("split") == split)
+        keep = keep & (F.col("split") == split)
     if subset is not None:
-        df = df.where((F.col("subset") == subset) | (F.col("task") == subset) if {"subset", "task"} <= set(df.columns) else F.col("subset") == subset)
+        keep = keep & ((F.col("subset") == subset) | (F.col("task") == subset) if {"subset", "task"} <= set(df.columns) else F.col("subset") == subset)
     if where is not None:
-        df = df.where(where)
-    if columns:
-        df = df.select(*columns, *(["ordinal"] if order else []))
+        keep = keep & where
+    names = columns or df.columns
+    if order and after_filter:
+        more = [c for c in order if c not in names]
+        df = with_ordinal(df.where(keep).select(*names, *more), *order).drop(*more)
+    elif order:
+        # what the filter says is a column of its own, so only the columns that come out are numbered and written
+        more = [c for c in order if c not in names]
+        df = with_ordinal(df.select(*names, *more, keep.alias("_keep")), *order).where("_keep").drop("_keep", *more)
+    else:
+        df = df.where(keep).select(*names)
     return df.limit(limit) if limit else df
 
 
+@reader("multi_audio")
+def multi_audio(spark: SparkSession, path: str, split: str = "test", task_id: str | None = None, task: str | None = None, names: dict[str, str] | None = None, fmt: str = "parquet", schema: str | None = None, root: str | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(examples, quarantine) of a table with context_source_paths, query_source_path or source_audio_paths and messages,
+    from Parquet or JSON lines; the paths are put under root."""
+    df = read(spark, "jsonl", path, schema=schema) if fmt == "jsonl" else spark.read.parquet(path)
+    df = renamed(df, names)
+    if task is not None and "task" in df.columns:
+        df = df.where(F.col("task") == task)
+    if limit:
+        df = df.limit(limit)
+    listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")) if c in df.columns else F.array().cast("array<string>")
+    query = F.coalesce(*(F.col(c) for c in ("query_source_path", "query_audio_path") if c in df.columns), F.lit(None).cast("string"))
+    context = F.when(F.size(listed("context_source_paths")) > 0, listed("context_source_paths")).otherwise(listed("context_audio_paths"))
+    paths = choose_paths(context, query, listed("source_audio_paths"), count_placeholders(last_message(F.col("messages"), "user")))
+    under = F.transform(paths, lambda p: resolve_path(F.lit(root), p)) if root else paths
+    key = resolve_id([F.col("id")] if "id" in df.columns else [], synthetic_id("row:", F.to_json("messages")))
+    return multi_examples(df.withColumn("_paths", under), key, F.col("_paths"), split, task_id)
+
+
+@reader("single_audio")
+def single_audio(spark: SparkSession, path: str, split: str = "test", task_id: str | None = None, task: str | None = None, names: dict[str, str] | None = None, fmt: str = "parquet", schema: str | None = None, root: str | None = None, limit: int | None = None) -> DataFrame:
+    """Examples of a table with one audio a row, from Parquet or JSON lines; the path is put under root."""
+    df = with_aliases(renamed(read(spark, "jsonl", path, schema=schema) if fmt == "jsonl" else spark.read.parquet(path), names))
+    if task is not None and "task" in df.columns:
+        df = df.where(F.col("task") == task)
+    if limit:
+        df = df.limit(limit)
+    first = F.get(audio_paths(df), F.lit(0))
+    key = resolve_id([F.col("id")] if "id" in df.columns else [], synthetic_id("row:", *(F.col(c) for c in ("dataset_name", "file_name") if c in df.columns)))
+    return single_examples(df, key, split, task_id, resolve_path(F.lit(root), first) if root else first)
+
+
+#: tiers whose subsets have several audios a row
+MULTI_TIERS = frozenset({4})
+
+
+def front_door(spark: SparkSession, catalog: dict[str, int], path: str, subset: str, **options):
+    """The examples of a subset, by the reader that its tier in the catalog (subset: tier) asks for; a subset that the
+    catalog doesn't have is a KeyError. Multi-audio subsets give (examples, quarantine)."""
+    name = subset.strip()
+    if name not in catalog:
+        raise KeyError(f"unknown subset {subset!r}; there are {', '.join(sorted(catalog))}")
+    return read(spark, "multi_audio" if catalog[name] in MULTI_TIERS else "single_audio", path, task=name, **options)
+
+
+#: names of backends that are one
+BACKENDS = {"hf": "huggingface"}
+
+
+def backend(cli: str | None = None, config: dict | None = None, env: dict | None = None, default: str = "parquet", variable: str = "TALLYSPARK_BACKEND") -> str:
+    """The reader's name: the command line's, else the task file's (key `backend`), else the environment's, else default;
+    blanks count as nothing said."""
+    env = os.environ if env is None else env
+    said = next((x.strip().lower() for x in (cli, (config or {}).get("backend"), env.get(variable)) if x and x.strip()), default)
+    said = BACKENDS.get(said, said)
+    if said not in {*READERS, *BACKENDS.values()}:
+        raise KeyError(f"no backend {said!r}; there are {sorted({*READERS, *BACKENDS.values()})}")
+    return said
+
+
 @reader("jsonl")
-def jsonl(spark: SparkSession, path: str, schema: str, keep_malformed: bool = False, root: str | None = None) -> DataFrame:
-    """JSON lines; blank lines are skipped, malformed ones dropped or kept as rows with `_corrupt` text."""
+def jsonl(spark: SparkSession, path: str, schema: str, keep_malformed: bool = False, root: str | None = None, names: dict[str, str] | None = None) -> DataFrame:
+    """JSON lines; blank lines are skipped, malformed ones dropped or kept as rows with `_corrupt` text. names: the columns
+    to give, by what they are called in the file."""
     lines = spark.read.text(path).where(strip(F.col("value")) != "")
     df = lines.select(F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
     if root is not None:
         df = df.withColumn("data_root", F.lit(root))
-    return df if keep_malformed else df.where("_corrupt IS NULL").drop("_corrupt")
+    if not keep_malformed:
+        df = df.where("_corrupt IS NULL").drop("_corrupt")
+    return renamed(df, names if not names or not keep_malformed else {**names, "_corrupt": "_corrupt"})
 
 
 def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 def _work_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="tallyspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/tallyspark/{spark.sparkContext.applicationId}"
 
 
@@ -36,15 +35,21 @@ def canonical_json(**fields: Column) -> Column:
 
 
 def append_new(df: DataFrame, path: str, key: str = "sample_id", fmt: str = "parquet") -> None:
-    """Append the rows whose key the table doesn't have yet."""
+    """Append the rows whose key the table doesn't have yet, one of each key. A null key is none: such rows are told apart
+    by all that they hold."""
     spark = df.sparkSession
-    try:
-        have = spark.read.format(fmt).load(path).select(key)
-        df = df.join(have, key, "left_anti")
-    except Exception as error:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-    df.dropDuplicates([key]).write.mode("append").format(fmt).save(path)
+    own = F.when(F.col(key).isNotNull(), F.to_json(F.struct(F.col(key).alias("k")))).otherwise(F.concat(F.lit("null "), F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)))
+    df = df.withColumn("_key", own)
+    if exists(spark, path):
+        df = df.join(spark.read.format(fmt).load(path).select(*df.drop("_key").columns).select(own.alias("_key")), "_key", "left_anti")
+    df.dropDuplicates(["_key"]).drop("_key").write.mode("append").format(fmt).save(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or a folder that isn't empty, in whatever file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p) and (fs.getFileStatus(p).isFile() or any(not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(p)))
 
 
 def write_small(path: str, value: dict) -> None:
