@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rows import build_request, model_of_path, task_of_path
@@ -13,16 +13,17 @@ from ..plans.config import Task
 from ..plans.planner import fingerprint, plan_inline
 from ..schemas import PREDICTION
 from ..sources.readers import read
-from ..sources.sinks import append_new
+from ..sources.sinks import append_new, exists, write_small
 from .enrich import predict
 from .metrics import dataset_metric, score_means, score_sample
 from .rescore import collect_vocabulary
-from .runs import last_by, merged, pending, results_table, winners
+from .runs import last_by, merged, pending, results_table, sample_k, winners
 
 
-def run_task(examples: DataFrame, task: Task, call: Callable[[list[dict]], list[dict]], path: str, template: str = "{{text}}", system: str = "", size: int = 8) -> DataFrame:
+def run_task(examples: DataFrame, task: Task, call: Callable[[list[dict]], list[dict]], path: str, template: str = "{{text}}", system: str = "", size: int = 8, scorer: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """Score the examples (sample_id, ordinal, text, target) that the table at path doesn't have yet, append them, and
-    give the whole table. A sample whose request or answer fails is a row with an error."""
+    give the whole table. A sample whose request or answer fails is a row with an error. scorer(processed, raw, target)
+    gives a map of scores (a Column, or that of a pandas UDF) in place of the usual ones."""
     spark = examples.sparkSession
     vocab = task.labels or collect_vocabulary(examples.where("target IS NOT NULL"))
     parsers, cleaners = plan_inline(vocab, task.task_type, task.labels or None)
@@ -34,17 +35,13 @@ def run_task(examples: DataFrame, task: Task, call: Callable[[list[dict]], list[
     df = made.join(answers, "sample_id", "left").withColumn("error", F.coalesce("_r.error", "error"))
     raw = F.coalesce("prediction", F.lit(""))
     df = df.withColumn("_post", run_steps(raw, parsers, cleaners))
-    scores = score_sample(F.col("_post.text"), raw, F.when(F.col("target").isNull(), "none").otherwise("text"), F.col("target"), F.split("target", ","), F.lit(task.task_type))
-    out = df.select("sample_id", "ordinal", F.lit(task.id).alias("task_id"), "prediction", F.col("_post.text").alias("processed"), "target", F.when(F.col("error").isNull(), scores).alias("scores"), F.lit(fingerprint(parsers, cleaners)).alias("postprocess"), "error")
+    scores = scorer(F.col("_post.text"), raw, F.col("target")) if scorer else score_sample(F.col("_post.text"), raw, F.when(F.col("target").isNull(), "none").otherwise("text"), F.col("target"), F.split("target", ","), F.lit(task.task_type))
+    times = ("predictions", "finish_reason", "prompt_tokens", "completion_tokens", "latency_sec", "server_info", "batch", "roundtrip_sec")
+    out = df.select("sample_id", "ordinal", F.lit(task.id).alias("task_id"), "prediction", *times, F.col("_post.text").alias("processed"), "target", F.when(F.col("error").isNull(), scores).alias("scores"), F.lit(fingerprint(parsers, cleaners)).alias("postprocess"), "error")
     append_new(out, path)
     return spark.read.parquet(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def upload(spark: SparkSession, folder: str, uri: str, names: list[str]) -> list[str]:
     """Copy the named artifacts of a local folder to a Hadoop file system; gives those that were there."""
     jvm, conf, done = spark._jvm, spark._jsc.hadoopConfiguration(), []
@@ -98,9 +95,37 @@ def validate(spark: SparkSession, root: str, sidecars: list[str]) -> DataFrame:
 
 def pairs(examples: DataFrame, scored: DataFrame, model: str, run_id: str) -> DataFrame:
     """Prompt and answer side by side, one record for each sample."""
-    s = last_by(scored.select("sample_id", "ordinal", "prediction", "processed", "error"), "sample_id", "ordinal").drop("ordinal")
+    s = last_by(scored.select("sample_id", F.col("ordinal").alias("_o"), "prediction", "processed", "error"), "sample_id", "_o").drop("_o")
     out = examples.join(s, "sample_id")
-    return out.select(F.lit("pairs_v1").alias("schema_version"), F.lit(run_id).alias("run_id"), F.lit(model).alias("model_tag"), "sample_id", F.col("target").alias("ground_truth"), F.col("text").alias("prompt"), F.array("prediction").alias("raw_predictions"), F.col("processed").alias("processed_prediction"), "error")
-
-
-__all__ = ["consolidate", "merged", "pairs", "run_task", "summarize", "table", "upload", "validate"]
+    subset = F.col("subset") if "subset" in examples.columns else F.lit("all")
+    return out.select(F.lit("pairs_v1").alias("schema_version"), F.lit(run_id).alias("run_id"), F.lit(model).alias("model_tag"), subset.alias("subset"), "sample_id", F.col("target").alias("ground_truth"), F.col("text").alias("prompt"), F.array("prediction").alias("raw_predictions"), F.col("processed").alias("processed_prediction"), "error")
+
+
+def select_examples(examples: DataFrame, k: int, strategy: str = "first", seed: int = 0) -> DataFrame:
+    """k examples: the first ones by ordinal, or a sample that depends on the seed and the ids alone."""
+    if strategy == "first":
+        return examples.orderBy("ordinal").limit(k)
+    if strategy == "sample":
+        return sample_k(examples, k, "sample_id", seed)
+    raise ValueError(f"unknown strategy {strategy!r}")
+
+
+def write_pairs(records: DataFrame, folder: str, run_id: str, resume: bool = False) -> DataFrame:
+    """Append the records that folder doesn't have, and write a manifest (counts by subset, ids' digests) beside them;
+    gives (subset, n, digest). Without resume the folder must be new."""
+    spark, path = records.sparkSession, f"{folder}/pairs"
+    if exists(spark, path) and not resume:
+        raise ValueError(f"{folder} has pairs already")
+    append_new(records, path)
+    whole = spark.read.parquet(path)
+    chosen_ids = whole.select("subset", "sample_id").distinct()
+    chosen_ids.write.mode("overwrite").partitionBy("subset").parquet(f"{folder}/sample_ids")
+    # an order-free digest, so no subset's ids meet in one task
+    digest = F.hex(F.bit_xor(F.xxhash64("sample_id"))).alias("digest")
+    manifest = chosen_ids.groupBy("subset").agg(F.count("*").alias("n"), digest)
+    if folder.startswith("/"):
+        write_small(f"{folder}/manifest.json", {"schema_version": "pairs_manifest_v1", "run_id": run_id, "subsets": {r["subset"]: {"n": r["n"], "digest": r["digest"]} for r in manifest.collect()}})  # a row for each subset
+    return manifest
+
+
+__all__ = ["consolidate", "merged", "pairs", "run_task", "select_examples", "summarize", "table", "upload", "validate", "write_pairs"]

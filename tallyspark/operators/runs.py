@@ -68,11 +68,11 @@ def winners(runs: DataFrame, keys: list[str], expected: str, rows: str, mtime: s
 
 
 def merged(parts: list[DataFrame], key: str) -> tuple[DataFrame, DataFrame]:
-    """(all rows, ids that repeat)."""
+    """(all rows, ids that repeat and how often)."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out, out.groupBy(key).count().where("count > 1").select(key)
+    return out, out.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def pick_metric(scores: Column, preferred: list[str]) -> Column:
@@ -126,6 +126,23 @@ def cache_key(kind: str, **fields: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{kind}:v1:"), canonical_json(**fields)), 256)
 
 
+def store(values: DataFrame, path: str, key: str = "key") -> None:
+    """Append (key, value, error) to a cache table, numbered after all that it has; rows with an error aren't stored. The
+    table is read as the last value of each key."""
+    from ..sources.sinks import exists
+
+    spark = values.sparkSession
+    last = spark.read.parquet(path).agg(F.max("ordinal")).first()[0] if exists(spark, path) else None
+    good = values.where("error IS NULL") if "error" in values.columns else values
+    good.select(key, "value", F.lit((last if last is not None else -1) + 1).cast("long").alias("ordinal")).dropDuplicates([key]).write.mode("append").parquet(path)
+
+
+def with_dimension(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
+    """df with what a registry says of each key (expected rows, longest clip, fixed labels); null where it says nothing. A
+    registry has a row for each task or subset."""
+    return df.join(F.broadcast(dimension), key, "left")
+
+
 def cached(requests: DataFrame, store: DataFrame, key: str = "key", ordinal: str = "ordinal") -> tuple[DataFrame, DataFrame]:
     """(requests with a stored value, those without); the last value stored under a key counts, errors are never stored."""
     have = last_by(store, key, ordinal).drop(ordinal)
