@@ -2,38 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import run_queries
 from .functions import rows, text
 from .operators import enrich, metrics, rescore, runs
 from .plans import planner
+from .registry import ORACLES, QUERIES, query, r6, t
 from .schemas import normalize_labels
 from .sources import readers, sinks
 from .streaming.rescore import stream_rescore
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def r6(c, name: str):
-    return F.round(c, 6).alias(name)
-
-
 # ---- sources and row normalisation -----------------------------------------------------------------------------------
 
 
@@ -53,12 +32,11 @@ def scan_limit(spark, sf):
     return t(spark, sf, "orders").where("o_orderstatus = 'F'").orderBy("o_orderkey").limit(50).select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE event_type = 'click' OR event_id % 2 = 0")
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
 def jsonl_scan(spark, sf):
     """Events written as JSON lines with a malformed one among them, read back tolerantly."""
     path = sinks.work_dir(spark)
-    e = t(spark, sf, "events").where("event_type = 'click' OR event_id % 2 = 0")
-    lines = e.select(sinks.canonical_json(event_id=F.col("event_id"), props=F.col("props")).alias("value"))
+    lines = t(spark, sf, "events").select(sinks.canonical_json(event_id=F.col("event_id"), props=F.col("props")).alias("value"))
     lines.unionByName(spark.createDataFrame([("{bad",), ("",)], "value string")).write.mode("append").text(f"{path}/lines")
     got, _ = readers.quarantine(readers.read(spark, "jsonl", f"{path}/lines", schema="event_id long, props string", keep_malformed=True))
     return got.select("event_id", rows.dotted(F.col("props"), "k").cast("long").alias("k"))
@@ -180,10 +158,11 @@ def group_by_endpoint(spark, sf):
 
 
 @query("""SELECT coalesce(a.doc_id, b.doc_id) AS sample_id, CASE WHEN b.doc_id IS NULL THEN 'missing' ELSE 'unexpected' END AS problem
-FROM (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0) a FULL JOIN (SELECT doc_id FROM labels) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL""")
+FROM documents a FULL JOIN (SELECT CASE WHEN toxic = 1 THEN -1 - doc_id ELSE doc_id END AS doc_id FROM labels) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL""")
 def response_check(spark, sf):
-    a = t(spark, sf, "documents").where("doc_id % 7 <> 0").select(F.col("doc_id").alias("sample_id"))
-    return runs.checked_pairs(a, t(spark, sf, "labels").select(F.col("doc_id").alias("sample_id")))[1]
+    """Documents as requests and labels as responses; those of toxic ones answer ids that nobody asked for."""
+    a = t(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"))
+    return runs.checked_pairs(a, t(spark, sf, "labels").select(F.when(F.col("toxic") == 1, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("sample_id")))[1]
 
 
 @query("""WITH a AS (SELECT o_orderkey AS k, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1)
@@ -254,7 +233,7 @@ def canonical_json(spark, sf):
 @query("""SELECT doc_id AS k, count(*) AS n FROM (SELECT doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id FROM labels WHERE quality = 1) GROUP BY doc_id HAVING count(*) > 1""")
 def merge_duplicates(spark, sf):
     a, b = t(spark, sf, "documents").where("lang = 'en'").select("doc_id"), t(spark, sf, "labels").where("quality = 1").select("doc_id")
-    return runs.merged([a, b], "doc_id")[1].select(F.col("doc_id").alias("k"), F.lit(2).cast("long").alias("n"))
+    return runs.merged([a, b], "doc_id")[1].select(F.col("doc_id").alias("k"), "n")
 
 
 # ---- text and label alignment ----------------------------------------------------------------------------------------
@@ -556,3 +535,6 @@ def stream_rescore_events(spark, sf):
         stream_rescore(source(), score, f"{base}/out", f"{base}/check-{check}").awaitTermination()
     return spark.read.parquet(f"{base}/out").select(F.col("sample_id").alias("event_id"), "hit")
 
+
+
+__all__ = ["ORACLES", "QUERIES", "run_queries"]
