@@ -309,14 +309,14 @@ def hz_bucket(spark, sf):
     return t(spark, sf, "part").select("p_partkey", s.alias("s")).select("p_partkey", text.extract_bucket(F.col("s"), ["2000 Hz", "950 Hz", "1500 Hz", "1200 Hz"]).alias("bucket"))
 
 
-NAMES = ["Jynx torquilla", "Turdus merula", "Turdus philomelos"]
-
-
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Jynx torquilla' WHEN 1 THEN 'Turdus merula' WHEN 2 THEN 'Turdus philomelos' ELSE 'a cuckoo, I think' END AS name FROM events""")
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 2 THEN 'some ' || split_part(p_name, ' ', 1) || ' thing' ELSE p_name END AS name FROM part""")
 def scientific_name(spark, sf):
-    k = F.col("event_id") % 4
-    s = F.when(k == 0, "#0.00s - 10.00s#: The focal species is *Jynx torquilla* here.").when(k == 1, "merula, of the genus TURDUS").when(k == 2, "Turdus philomelos!").otherwise(" a cuckoo, I think ")
-    return t(spark, sf, "events").select("event_id", s.alias("s")).select("event_id", text.extract_scientific_name(F.col("s"), NAMES).alias("name"))
+    """Part names of two words in three kinds of answers, against all part names."""
+    p = t(spark, sf, "part")
+    labels = sorted(r[0] for r in p.select("p_name").distinct().collect())  # a label set
+    first, second, k = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1), F.col("p_size") % 3
+    s = F.when(k == 0, F.concat(F.lit("#0.00s - 10.00s#: The focal species is *"), "p_name", F.lit("* here."))).when(k == 1, F.concat(second, F.lit(", of the genus "), F.upper(first))).otherwise(F.concat(F.lit(" some "), first, F.lit(" thing ")))
+    return p.select("p_partkey", s.alias("s")).select("p_partkey", text.extract_scientific_name(F.col("s"), labels).alias("name"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Yes' ELSE 'No' END AS inline_, CASE c_custkey % 2 WHEN 0 THEN 'Yes' ELSE 'No' END AS offline, CASE c_custkey % 2 WHEN 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM customer""")
