@@ -34,8 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BLOCKS, U64, Rolling, blocks, input_bytes, lean, materialize, mix, pack, texts, unpack
-from .ppm import Sums, pack_keys, unpack_keys
+from .common import KEYS, U64, Bloom, Rolling, blocks, bloom_words, input_bytes, lean, materialize, mix, pack, packed_keys, shared_keys, texts, unpack
 
 LENGTH, SEED = 100, 50
 STARTS = LENGTH - SEED + 1
@@ -99,11 +98,11 @@ class Segments:
         self.seed, self.a, self.b, self.at, self.doc = (x[which] for x in (self.seed, self.a, self.b, self.at, self.doc))
 
     def content(self) -> np.ndarray:
-        """40 bits that, with the seed, stand for a segment's bytes and the seed's place in it."""
+        """64 bits that, with the 64 of the seed, stand for a segment's bytes and the seed's place in it."""
         if not len(self.a):
             return np.zeros(0, U64)
         h = self.rolling.hash(self.a, self.b + LENGTH)
-        return mix(h + (self.at - self.a).astype(U64) * U64(0x9E3779B97F4A7C15) + (self.b - self.a).astype(U64)) & U64((1 << 40) - 1)
+        return mix(h + (self.at - self.a).astype(U64) * U64(0x9E3779B97F4A7C15) + (self.b - self.a).astype(U64))
 
 
 def ordered(ids: list) -> np.ndarray:
@@ -128,35 +127,6 @@ class Entries:
         self.cuts = np.searchsorted(self.bucket, np.arange(buckets + 1))
 
 
-class Bloom:
-    """The blocked Bloom filter of shared seeds; the same bits as _bloom_rows."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words  # blocks x 8
-        self.shift = U64(64 - (len(words).bit_length() - 1)) if len(words) > 1 else None
-
-    def passes(self, keys: np.ndarray) -> np.ndarray:
-        block = (keys >> self.shift).astype(np.int64) if self.shift is not None else np.zeros(len(keys), np.int64)
-        ok = np.ones(len(keys), dtype=bool)
-        for i in range(8):
-            ok &= (self.words[block, i] >> ((keys >> U64(6 * i)) & U64(63))) & U64(1) == 1
-        return ok
-
-
-def _bloom_of(shared: DataFrame) -> np.ndarray:
-    n, size = shared.count(), 1
-    while size < MAX_BLOCKS and size * 512 < 16 * n:
-        size *= 2
-    block = F.shiftrightunsigned("seed", 64 - (size.bit_length() - 1)) if size > 1 else F.lit(0).cast("long")
-    bit = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("seed", 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(8)]
-    rows = shared.select(block.alias("b"), *(x.alias(f"w{i}") for i, x in enumerate(bit))).groupBy("b").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(8))).toArrow()
-    words = np.zeros((size, 8), dtype=np.int64)
-    at = rows.column("b").to_numpy()
-    for i in range(8):
-        words[at, i] = rows.column(f"w{i}").to_numpy()
-    return words.view(U64)
-
-
 # ---- the index -------------------------------------------------------------------------------------------------------
 
 
@@ -299,39 +269,11 @@ def _seeds(buckets: int):
     def run(batches):
         for block in blocks(batches, "text", BLOCK_BYTES):
             raw = [t.encode() for t in texts(block, "text")]
-            seg = Segments(np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw]))
-            keys, counts = np.unique(seg.seed, return_counts=True)
-            bucket = (keys % U64(buckets)).astype(np.int32)
-            place = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[place], np.arange(buckets + 1))
-            rows = [(ENTRY, 0, b, None, None, pack_keys(keys[p], np.minimum(counts[p], 2))) for b in range(buckets) if len(p := place[cuts[b] : cuts[b + 1]])]
-            if rows:
-                yield _rows(rows)
+            yield from packed_keys(Segments(np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw])).seed, buckets)
 
     return run
 
 
-def _shared(batches):
-    """Seeds that occur twice or more."""
-    at, sums = None, None
-
-    def flush():
-        keys, counts = sums.total()
-        keys = keys[counts > 1].view(np.int64)
-        for i in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000])], names=["seed"])
-
-    for batch in batches:
-        for bucket, body in zip(batch.column(2).to_pylist(), batch.column(5).to_pylist(), strict=True):
-            if bucket != at:
-                if sums:
-                    yield from flush()
-                at, sums = bucket, Sums()
-            sums.add(*unpack_keys(body))
-    if sums:
-        yield from flush()
-
-
 def block_entries(data: np.ndarray, lens: np.ndarray, ids: list, bloom: Bloom, buckets: int) -> tuple[Segments, Entries]:
     seg = Segments(data, lens)
     seg.keep(bloom.passes(seg.seed))
@@ -538,8 +480,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_bucket = lambda df: df.repartition(F.col("bucket")).sortWithinPartitions("bucket", "block")
     by_block = lambda df: df.repartition(F.col("block")).sortWithinPartitions("block", "kind", "bucket")
 
-    shared = materialize(by_bucket(docs.mapInArrow(lean(_seeds(buckets)), PARTS)).mapInArrow(lean(_shared), "seed long"))
-    held = spark.sparkContext.broadcast(_bloom_of(shared))  # at most MAX_BLOCKS * 64 bytes
+    shared = shared_keys(docs.mapInArrow(lean(_seeds(buckets)), KEYS))
+    held = spark.sparkContext.broadcast(bloom_words(shared))  # at most MAX_BLOCKS * 64 bytes
     parts = materialize(docs.mapInArrow(lean(_cut(held, buckets)), PARTS), "kind").select(*_PARTS)
     heads = parts.where(F.col("kind") == HEAD)
     codes = materialize(by_bucket(parts.where(F.col("kind") == ENTRY)).mapInArrow(lean(_first), PARTS))
