@@ -69,6 +69,8 @@ PATTERNS = {
     "untitled": re.compile(r"(?<!\w)(%s)[ ](%s)(?!\w)" % ("|".join(sorted(_KNOWN, key=len, reverse=True)), _NAME)),
 }
 _DIGITS = re.compile(r"\d")
+_CAPITAL = re.compile(r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я]\w*")
+_TITLE_WORDS = {re.match(r"\w+", t)[0] for t in _GENDER}
 
 
 def normal(name: str) -> str:
@@ -88,12 +90,13 @@ def _parts(name: str, at: int) -> list[tuple[int, str]]:
 def persons(text: str) -> list[tuple[str, str, list, list]]:
     """(gender or nothing, person, given name parts, surname parts) of every mention with a title or a known given name;
     person is the normal form of the full name, empty without a given name."""
-    out = []
-    for m in PATTERNS["person"].finditer(text):
+    out, capitals = [], set(_CAPITAL.findall(text))
+    # most texts have neither titles nor such names
+    for m in () if _TITLE_WORDS.isdisjoint(capitals) else PATTERNS["person"].finditer(text):
         *given, (at, surname) = [(m.start(2) + p.start(), p[0]) for p in re.finditer(r"[^ ]+", m[2])]
         own = [x for p, name in given for x in _parts(name, p)]
         out.append((_GENDER[m[1]], " ".join(normal(n) for _, n in [*given, (at, surname)]) if given else "", own, _parts(surname, at)))
-    for m in PATTERNS["untitled"].finditer(text):
+    for m in () if capitals.isdisjoint(_KNOWN) else PATTERNS["untitled"].finditer(text):
         out.append(("", f"{normal(m[1])} {normal(m[2])}", _parts(m[1], m.start(1)), _parts(m[2], m.start(2))))
     return out
 
@@ -107,8 +110,7 @@ def _resolve(mentions: list, genders: dict[str, str]) -> dict[str, str]:
     return {person: told.get(person) or genders.get(person) or gender_of(person.split(" ")[0]) for _, person, _, _ in mentions}
 
 
-def _names(text: str, genders: dict[str, str]) -> list[tuple[int, int, str, str]]:
-    mentions = persons(text)
+def _names(text: str, mentions: list, genders: dict[str, str]) -> list[tuple[int, int, str, str]]:
     resolved, out, names = _resolve(mentions, genders), [], {}
     for gender, person, given, surname in mentions:
         kinds = [(x, f"given_{gender or resolved[person]}") for x in given] + [(x, "surname") for x in surname]
@@ -122,8 +124,9 @@ def _names(text: str, genders: dict[str, str]) -> list[tuple[int, int, str, str]
     return out
 
 
-def find(text: str, genders: dict[str, str] = {}) -> list[tuple[int, int, str, str]]:  # noqa: B006
-    """(start, stop, kind, value) of every entity, in order, none overlapping; value is its normal form."""
+def find(text: str, genders: dict[str, str] = {}, mentions: list | None = None) -> list[tuple[int, int, str, str]]:  # noqa: B006
+    """(start, stop, kind, value) of every entity, in order, none overlapping; value is its normal form. mentions: what
+    persons() gives, if it is known."""
     out: list[tuple[int, int, str, str]] = []
     has_digit = _DIGITS.search(text) is not None
     run = {k: has_digit for k in ("iban", "ip", "ssn", "phone", "card", "key")}
@@ -131,7 +134,7 @@ def find(text: str, genders: dict[str, str] = {}) -> list[tuple[int, int, str, s
     for kind, pattern in PATTERNS.items():
         if run.get(kind):
             out += [(*m.span(1), kind, _value(kind, m[1])) for m in pattern.finditer(text)]
-    out += _names(text, genders)
+    out += _names(text, persons(text) if mentions is None else mentions, genders)
     held: list[tuple[int, int, str, str]] = []
     # in order of kind where two overlap; a sweep by place, as texts may be long
     rank = {k: i for i, k in enumerate(PATTERNS)}
@@ -311,7 +314,7 @@ def _extract(text_col: str, with_text: bool):
                         seen[digest, f"person_{gender}", person] = None
                     elif person and person not in told:  # the corpus may tell the gender; the letter is what holds else
                         seen[digest, f"open_{resolved[person]}", person] = None
-                for _, _, kind, value in find(t):
+                for _, _, kind, value in find(t, mentions=mentions):
                     seen[digest, kind, value] = None
             if seen:
                 digest, kind, value = zip(*seen, strict=True)
