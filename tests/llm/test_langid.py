@@ -63,3 +63,49 @@ def test_empty_tables(spark):
     assert langid.fit(none) is None and langid.identify(none, None).collect() == []
     one = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [tuple(r) for r in langid.identify(one, langid.fit(one)).collect()] == [(1, "und", 0.0)]
+
+
+def test_against_plain_kernel_ridge_regression():
+    # with every row a landmark, the Nystroem map is the kernel itself: compare with the dual system, solved for sets
+    import numpy as np
+
+    rng = random.Random(4)
+    vocab = {k: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(30)] for k, letters in (("x", "abcdef"), ("y", "defghi"), ("z", "aeiouß"))}
+    prose = lambda k, n: " ".join(rng.choice(vocab[k]) for _ in range(n))
+    rows = [(k, prose(k, rng.randint(3, 20))) for k, n in (("x", 9), ("y", 5), ("z", 7)) for _ in range(n)]
+
+    def grams(text):
+        raw = text.lower().encode()
+        return {raw[i : i + n] for n in (1, 2, 3) for i in range(len(raw) - n + 1)}
+
+    def kernel(a, b):
+        return len(a & b) / (len(a) * len(b)) ** 0.5
+
+    sets = [grams(t) for _, t in rows]
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    languages = ["x", "y", "z"]
+    goal = np.array([[1.0 if lang == own else -1.0 for lang in languages] for own, _ in rows])
+    weight = np.array([1 / sum(o == own for o, _ in rows) for own, _ in rows])
+    n = len(rows)
+    system = np.zeros((n + 1, n + 1))
+    system[:n, :n] = k + langid.RIDGE * np.diag(1 / weight)
+    system[:n, n] = system[n, :n] = 1
+    solved = np.linalg.solve(system, np.vstack([goal, np.zeros((1, 3))]))
+    texts = [prose(k, 8) for k in "xyzxyz"] + [prose("x", 4) + " " + prose("y", 5)]
+    want = np.array([[kernel(grams(t), s) for s in sets] for t in texts]) @ solved[:n] + solved[n]
+    model = langid.solve(rows, landmarks=3 * n)
+    lang, score = langid.predict(model, texts)
+    assert lang == [languages[i] for i in want.argmax(axis=1)]
+    assert np.allclose(score, np.clip((want.max(axis=1) + 1) / 2, 0, 1), atol=1e-3)
+
+
+def test_null_and_repeated_ids_stay_within_the_bound(spark):
+    rows = [(None, f"abc {i} def", "x") for i in range(300)] + [(7, f"ghi {i} jkl", "y") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    held = []
+    solve, langid.solve = langid.solve, lambda rows, landmarks: held.append(rows)
+    try:
+        langid.fit(docs, per_language=20)
+    finally:
+        langid.solve = solve
+    assert len(held[0]) == 40

@@ -135,3 +135,65 @@ def test_near_copies_that_differ_by_about_the_limit(spark):
     want = classes_by_buckets(texts)
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     assert {r.doc_id: r.class_id for r in o.near_duplicates(docs).collect()} == dict(enumerate(want))
+
+
+def test_query_against_all_pairs(spark, sf_dir):
+    """Every pair of documents that is alike by brute force is in one class, and no class holds more than these links."""
+    texts = {r.doc_id: (r.text or "").encode().lower().split() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    ids = sorted(texts)
+    parent = {d: d for d in ids}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            x, y = len(texts[a]), len(texts[b])
+            if min(x, y) >= 0.8 * max(x, y) and o.similar(texts[a], texts[b]):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    got = {r.doc_id: r.class_id for r in o.op4_order_minhash(spark, sf_dir).collect()}
+    assert got == {d: root(d) for d in ids}
+
+
+def test_keys_of_large_groups_meet():
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+
+    rng = random.Random(11)
+    frequency = np.array([rng.choice([1, 5, 1000]) for _ in range(o.LONGEST << o.FREQUENCY_BITS)])
+    tried = 0
+    for size in [*range(1, 40), 60, 100]:
+        for _ in range(25):
+            a = [f"{rng.randint(0, 6 if size % 3 else 5000)}" for _ in range(size)]
+            b = list(a)
+            for _ in range(rng.randint(0, int(0.2 * size))):
+                i, kind = rng.randrange(len(b)), rng.random()
+                b[i : i + (kind < 0.7)] = [f"e{rng.randint(0, 9)}"] if kind < 0.4 or kind >= 0.7 else []
+            if b and o.similar(a, b):
+                tried += 1
+                texts = pa.array([zstandard.compress(" ".join(t).encode()) for t in (a, b)], pa.binary())
+                ((_, levels),) = o._coded([pa.RecordBatch.from_arrays([texts], names=["body"])], "body", o.LONGEST)
+                assert len(np.intersect1d(*o._keys_of_all(levels, frequency))), (a, b)
+    assert tried > 700
+
+
+def test_groups_of_any_number_of_parts(monkeypatch):
+    import zstandard
+
+    monkeypatch.setattr(o, "MOST_WORDS", 300)
+    rng = random.Random(12)
+    group, texts = o.Group(0), []
+    for g in range(12):
+        words = [f"{g}_{rng.randint(0, 99)}" for _ in range(40)]
+        texts += [[*words[: 39 - k], "x"] for k in range(3)]
+    for i, t in enumerate(texts):
+        raw = " ".join(t).encode()
+        codes = o.numbered(o.Words([raw], lower=True).hash, o.np.zeros(len(t), o.np.int64))
+        group.add(i, zstandard.compress(raw), codes, None)
+    forest = o.Forest()
+    for a, b in group.links():
+        forest.join(a, b)
+    assert [forest.root(i) for i in range(36)] == [i // 3 * 3 for i in range(36)]

@@ -70,3 +70,34 @@ def test_query_against_sql(spark, sf_dir):
     got = quality.op1_quality(spark, sf_dir)
     assert "Python" not in got._jdf.queryExecution().toString() and "InMap" not in got._jdf.queryExecution().toString()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
+
+
+def test_accepted_keeps_all_columns(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 120) if i % 2 else "x", "en", "mine", i, "dot") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept string, n_words int, `a.b` string")
+    out = quality.accepted(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert sorted(r.doc_id for r in got) == list(range(1, 40, 2)) and {(r.kept, r["a.b"]) for r in got} == {("mine", "dot")} and all(r.n_words == r.doc_id for r in got)
+
+
+def test_distances_against_plain_python(spark):
+    from math import log2, sqrt
+
+    rng = random.Random(8)
+    refs = [("a", ["the", "of", "in"], [0.2, 0.1, 0.05, 0.65], [0.7, 0.05, 0.05, 0.1, 0.05, 0.03, 0.02]), ("b", ["und", "in"], [0.3, 0.1, 0.6], [0.6, 0.1, 0.05, 0.15, 0.05, 0.03, 0.02])]
+    texts = [" ".join(rng.choice(["the", "OF", "in", "und", "xyz", "Q7."]) for _ in range(n)) for n in (1, 3, 50, 200)] + [""]
+
+    def distance(p, q):
+        half = lambda a, b: a * log2(2 * a / (a + b)) if a > 0 else 0.0
+        return sqrt(max(0.0, sum(half(a, b) + half(b, a) for a, b in zip(p, q, strict=True)) / 2))
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", quality.F.lit("a"))
+    for r in quality.quality_rules(docs, refs=refs).collect():
+        words = texts[r.doc_id].lower().split()
+        own = []
+        for _, names, shares, _ in refs:
+            p = [words.count(w) / max(len(words), 1) for w in names]
+            own.append(distance([*p, 1 - sum(p)], shares))
+        assert r.word_distance == pytest.approx(min(own), abs=1e-9)
