@@ -53,7 +53,7 @@ def test_removal_of_repeats(docs):
     long = next(r for k, r in got.items() if k[0] == 0)
     copy = next(r for k, r in got.items() if k[0] == 1)
     assert long.n_bytes == len(long.kept) and len(copy.kept) < copy.n_bytes / 10
-    assert len(next(r for k, r in got.items() if k[0] == 4).kept) == 100
+    assert bytes(next(r for k, r in got.items() if k[0] == 4).kept) == b"x"  # every later start repeats the first window
 
 
 def test_bpe_round_trip(docs):
