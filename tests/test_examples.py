@@ -169,13 +169,17 @@ def test_cache_keeps_the_last_value(spark, tmp_path):
     assert [tuple(r) for r in hits.collect()] == [("a", "3")] and [r.key for r in misses.collect()] == ["b"]
 
 
-def test_work_folder_is_never_local():
-    class Conf:
+def test_work_folder_on_a_cluster_is_never_local():
+    class Session:
+        def __init__(self, master):
+            self.conf, self.sparkContext = self, self
+            self.master, self.applicationId = master, "app-1"
+
         def get(self, key, default=None):
             return default
 
-    class Session:
-        conf = Conf()
-
-    with pytest.raises(RuntimeError):
-        sinks.work_dir(Session())
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            sinks.work_dir(Session(master))
+    first, second = sinks.work_dir(Session("local[4]")), sinks.work_dir(Session("local[4]"))
+    assert first != second and first.split("/tallyspark/")[0] == second.split("/tallyspark/")[0]
