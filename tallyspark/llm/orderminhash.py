@@ -455,11 +455,11 @@ def classes(docs: DataFrame) -> DataFrame:
     members = contents.select("num", "sketch").mapInArrow(lean(_explode), "num long, key long")
     leaders = members.groupBy("key").agg(F.min("num").alias("leader"), F.max("num").alias("last")).where("leader != last").select("key", "leader")
     pairs = materialize(members.join(leaders, "key").select("key", "num", "leader"))
-    wanted = materialize(pairs.where("num != leader").select("num", "leader").distinct())
-    bodies = _bodies(docs, contents, wanted.select(F.explode(F.array("num", "leader")).alias("num")).distinct())
-    two = wanted.join(bodies.select("num", F.col("body").alias("body_a")), "num")
+    wanted = materialize(pairs.where("num != leader").select(F.col("num").alias("member"), "leader").distinct())
+    bodies = _bodies(docs, contents, wanted.select(F.explode(F.array("member", "leader")).alias("num")).distinct())
+    two = wanted.join(bodies.select(F.col("num").alias("member"), F.col("body").alias("body_a")), "member")
     two = two.join(bodies.select(F.col("num").alias("leader"), F.col("body").alias("body_b")), "leader")
-    checked = two.select(F.col("num").alias("a"), F.col("leader").alias("b"), "body_a", "body_b").mapInArrow(lean(_compare), "a long, b long, ok boolean")
+    checked = two.select(F.col("member").alias("a"), F.col("leader").alias("b"), "body_a", "body_b").mapInArrow(lean(_compare), "a long, b long, ok boolean")
     first = components(checked.where("ok").select("a", "b"))
     # the members of a bucket that are not of one class already meet; all have met the leader
     rows = pairs.select("key", "num").join(first, "num", "left").select("key", "num", F.coalesce("label", "num").alias("label"))
