@@ -104,12 +104,14 @@ def first_server_info(answers: DataFrame, ordinal: str, info: str = "server_info
 
 def embedded(requests: DataFrame, files: DataFrame, key: str, path: str, default_rate: int = 16000) -> DataFrame:
     """Requests (key, path, sample_rate) with payload_type and data: base64 text of the files (path, content) that are
-    there, else the path itself; a rate that isn't positive is an error of its row, a missing one the default."""
+    there, in one line (by default Spark breaks it after 76 characters), else the path itself; a rate that isn't positive
+    is an error of its row, a missing one the default."""
     found = requests.join(files.select(F.col("path").alias(path), "content"), path, "left")
     rate = F.coalesce("sample_rate", F.lit(default_rate))
+    inline = F.replace(F.base64("content"), F.lit("\r\n"), F.lit(""))
     return found.select(
         key, path, F.when(F.col("content").isNotNull(), "base64_wav").otherwise("file_path").alias("payload_type"),
-        F.coalesce(F.base64("content"), F.col(path)).alias("data"), rate.alias("sample_rate"), F.when(rate < 1, F.concat(F.lit("invalid sample rate "), rate)).alias("error"),
+        F.coalesce(inline, F.col(path)).alias("data"), rate.alias("sample_rate"), F.when(rate < 1, F.concat(F.lit("invalid sample rate "), rate)).alias("error"),
     )
 
 

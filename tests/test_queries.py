@@ -28,3 +28,12 @@ def test_against_sql(spark, sf_dir, db, name):
     columns = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(columns)
     assert norm(got.select(*columns).collect()) == norm(want.fetchall())
+
+
+def test_embedded_audio_of_long_urls(spark, tmp_path):
+    """Urls around and beyond the 57 bytes that fill a line of 76 base64 characters; the smallest tables have shorter ones."""
+    urls = [None, "", *("u" * n for n in (56, 57, 58, 59, 114, 115, 5000)), "é" * 28, "é" * 29]
+    spark.createDataFrame([(i, u) for i, u in enumerate(u for u in urls for _ in range(2))], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = duckdb.sql(f"WITH pages AS (FROM '{tmp_path}/pages.parquet/*.parquet') {queries.ORACLES['embedded_audio']}")
+    got = queries.QUERIES["embedded_audio"](spark, str(tmp_path)).select(*want.columns)
+    assert norm(got.collect()) == norm(want.fetchall())

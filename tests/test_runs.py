@@ -1,3 +1,4 @@
+import base64
 import json
 import urllib.error
 
@@ -52,6 +53,19 @@ def test_taxonomy_and_audio(spark, tmp_path):
     assert have.count() == 1 and [r.audio_id for r in missing.collect()] == ["y"]
 
 
+@pytest.mark.parametrize("chunked", ["true", "false"])
+def test_embedded_files_are_one_line_of_base64(spark, chunked):
+    files = {f"f{n}": bytes(i * 7 % 256 for i in range(n)) for n in (0, 56, 57, 58, 59, 115, 20_000)}
+    requests = spark.createDataFrame([(p, p, None) for p in [*files, "gone"]], "id string, path string, sample_rate int")
+    spark.conf.set("spark.sql.chunkBase64String.enabled", chunked)
+    try:
+        got = enrich.embedded(requests, spark.createDataFrame(list(files.items()), "path string, content binary"), "id", "path").collect()
+    finally:
+        spark.conf.unset("spark.sql.chunkBase64String.enabled")
+    want = {p: ("base64_wav", base64.b64encode(raw).decode()) for p, raw in files.items()} | {"gone": ("file_path", "gone")}
+    assert {r.id: (r.payload_type, r.data) for r in got} == want and len(got) == len(want)
+
+
 def test_registry_and_config(tmp_path):
     (tmp_path / "task").mkdir()
     (tmp_path / "task" / "a.yaml").write_text("t1:\n  task_type: qa\nt2:\n  task_type: detection\n")
